@@ -55,15 +55,15 @@ def event_render(spark, sf):
 @query(
     "event_frame_totals",
     with_tables(SENSOR_EVENTS, CELLS)
-    + """SELECT segment, frame, cast(sum(n) FILTER (channel = 0) AS bigint) AS on_events,
-         cast(sum(n) FILTER (channel = 1) AS bigint) AS off_events FROM cells GROUP BY 1, 2""",
+    + """SELECT segment, frame, cast(coalesce(sum(n) FILTER (channel = 0), 0) AS bigint) AS on_events,
+         cast(coalesce(sum(n) FILTER (channel = 1), 0) AS bigint) AS off_events FROM cells GROUP BY 1, 2""",
 )
 def event_frame_totals(spark, sf):
     return (
         _cells(spark, sf)
         .groupBy("segment", "frame")
         .agg(
-            F.sum(F.when(F.col("channel") == 0, F.col("n"))).alias("on_events"),
-            F.sum(F.when(F.col("channel") == 1, F.col("n"))).alias("off_events"),
+            F.sum(F.when(F.col("channel") == 0, F.col("n")).otherwise(0)).alias("on_events"),
+            F.sum(F.when(F.col("channel") == 1, F.col("n")).otherwise(0)).alias("off_events"),
         )
     )

@@ -37,15 +37,26 @@ _BINARY = (
 )
 
 
+def _known(df):
+    """NULL labels shown as -1 / unknown, so that results hold no nullable numbers."""
+    return df.select(
+        *[c for c in df.columns if c not in ("label", "label_name", "aggressive")],
+        F.coalesce("label", F.lit(-1)).alias("label"),
+        F.coalesce("label_name", F.lit("unknown")).alias("label_name"),
+        F.coalesce(F.col("aggressive").cast("int"), F.lit(-1)).alias("aggressive"),
+    )
+
+
 @query(
     "label_keyword",
     with_tables(CLIP_PATHS)
-    + f"""SELECT p_partkey, label, {_NAMES}[label+1] AS label_name, label < 6 AS aggressive
+    + f"""SELECT p_partkey, coalesce(label, -1) AS label, coalesce({_NAMES}[label+1], 'unknown') AS label_name,
+                 coalesce(cast(label < 6 AS int), -1) AS aggressive
           FROM (SELECT p_partkey, {_EVENT_CASE} AS label FROM cp)""",
 )
 def label_keyword(spark, sf):
     named = labels.event_label_columns(clip_paths(spark, sf).drop("aggressive"), "path")
-    return named.select("p_partkey", "label", "label_name", "aggressive")
+    return _known(named.select("p_partkey", "label", "label_name", "aggressive"))
 
 
 @query(
@@ -70,15 +81,15 @@ def label_explicit_wins(spark, sf):
     )
 
 
-@query("label_interaction_flag", with_tables(CLIP_PATHS) + f"SELECT p_partkey, {_FLAG} AS flag FROM cp")
+@query("label_interaction_flag", with_tables(CLIP_PATHS) + f"SELECT p_partkey, coalesce({_FLAG}, -1) AS flag FROM cp")
 def label_interaction_flag(spark, sf):
-    return clip_paths(spark, sf).select("p_partkey", labels.interaction_flag(F.col("path")).alias("flag"))
+    return clip_paths(spark, sf).select("p_partkey", F.coalesce(labels.interaction_flag(F.col("path")), F.lit(-1)).alias("flag"))
 
 
-@query("label_binary", with_tables(CLIP_PATHS) + f"SELECT p_partkey, {_BINARY} AS label FROM cp")
+@query("label_binary", with_tables(CLIP_PATHS) + f"SELECT p_partkey, coalesce({_BINARY}, -1) AS label FROM cp")
 def label_binary(spark, sf):
     label = labels.binary_label(F.col("aggressive"), F.col("path"), F.col("dataset"))
-    return clip_paths(spark, sf).select("p_partkey", label.alias("label"))
+    return clip_paths(spark, sf).select("p_partkey", F.coalesce(label, F.lit(-1)).alias("label"))
 
 
 @query(
@@ -142,9 +153,12 @@ _CLASS_VALUES = ",".join(
 @query(
     "class_dimension_join",
     f"""WITH c(action, label, label_name, tier, aggressive) AS (VALUES {_CLASS_VALUES})
-        SELECT p_partkey, cast(p_partkey%120 AS int) AS action, cast(label AS int) AS label, label_name, aggressive
+        SELECT p_partkey, cast(p_partkey%120 AS int) AS action, cast(coalesce(label, -1) AS int) AS label,
+               coalesce(label_name, 'unknown') AS label_name, coalesce(cast(aggressive AS int), -1) AS aggressive
         FROM part LEFT JOIN c ON p_partkey%120 = action""",
 )
 def class_dimension_join(spark, sf):
     clips = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 120).cast("int").alias("action"))
-    return labels.attach_depth_labels(clips).select("p_partkey", "action", "label", "label_name", "aggressive")
+    return _known(labels.attach_depth_labels(clips)).select(
+        "p_partkey", "action", "label", "label_name", "aggressive"
+    )

@@ -1,3 +1,9 @@
 """Imports every query module so that it registers its queries."""
 
-from kinetable.catalog import event_queries, incident_queries, label_queries, signal_queries  # noqa: F401
+from kinetable.catalog import (  # noqa: F401
+    event_queries,
+    feature_queries,
+    incident_queries,
+    label_queries,
+    signal_queries,
+)

@@ -332,12 +332,18 @@ ap AS (SELECT spine.clip_id, spine.frame, least(a, b) AS i, greatest(a, b) AS j
 
 @query(
     "activity_pairs",
-    with_tables(VECTOR_JOINTS, VECTOR_CLIPS, SPINE, PERSON_STATS, MOTION, ACTIVITY_PAIRS) + "SELECT * FROM ap",
+    with_tables(VECTOR_JOINTS, VECTOR_CLIPS, SPINE, PERSON_STATS, MOTION, ACTIVITY_PAIRS)
+    + "SELECT clip_id, frame, coalesce(i, -1) AS i, coalesce(j, -1) AS j FROM ap",
 )
 def activity_pairs(spark, sf):
     poses, clips = vector_poses(spark, sf), vector_clips(spark, sf)
     found = signals.activity_pairs(poses, signals.person_motion(poses), clips, smooth=3)
-    return found.select("clip_id", "frame", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    return found.select(
+        "clip_id",
+        "frame",
+        F.coalesce("pair.i", F.lit(-1)).alias("i"),
+        F.coalesce("pair.j", F.lit(-1)).alias("j"),
+    )
 
 
 @query(
