@@ -4,6 +4,9 @@ from kinetable.catalog import (  # noqa: F401
     event_queries,
     feature_queries,
     incident_queries,
+    ingest_queries,
     label_queries,
+    review_queries,
     signal_queries,
+    stream_queries,
 )

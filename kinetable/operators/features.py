@@ -201,36 +201,44 @@ def standardize_channels(poses: DataFrame, max_persons: int = 2, eps: float = 1e
 # --- fixed-size features from one aggregation -------------------------------------------------
 
 
-def _sum_columns(normalize: bool) -> dict[str, Column]:
+def _sum_columns(normalize: bool, level: str) -> dict[str, Column]:
     """Row-level terms whose sums give every feature.
 
-    n, sx, sy, sq: visible joints, unweighted (the normalisation). k{j}, x{j}, xx{j}, ...:
-    per joint, weighted by ``weight``, the number of padded time steps the row fills.
-    With normalisation only visible joints count, otherwise all of them.
+    n, sx, sy, sq: visible joints, unweighted (the normalisation). k_*, x_*, xx_*, ...:
+    weighted by ``weight``, the number of padded time steps the row fills; one set per
+    joint (level ``joint``) or one over all joints (level ``pooled``). With normalisation
+    only visible joints count, otherwise all of them.
     """
-    seen = visible(F.col("joints"))
+    joints, weight = F.col("joints"), F.col("weight")
+    seen = visible(joints)
     terms = {
         "n": F.size(seen),
         "sx": total(seen, "x"),
         "sy": total(seen, "y"),
         "sq": total_square(seen, "x") + total_square(seen, "y"),
     }
+    if level == "pooled":
+        used = seen if normalize else joints
+        terms["k_all"] = weight * F.size(used)
+        for c in CHANNELS:
+            points = joints if c == "s" else used
+            terms[f"{c}_all"] = weight * total(points, c)
+            terms[f"{c}{c}_all"] = weight * total_square(points, c)
+        return terms
     for j in range(NUM_JOINTS):
-        joint = F.col("joints")[j]
-        used = F.col("weight") * (F.when(joint["s"] > 0, 1.0).otherwise(0.0) if normalize else F.lit(1.0))
-        terms[f"k{j}"] = used
-        for c in ("x", "y"):
+        joint = joints[j]
+        count = weight * (F.when(joint["s"] > 0, 1.0).otherwise(0.0) if normalize else F.lit(1.0))
+        terms[f"k_{j}"] = count
+        for c in CHANNELS:
             value = joint[c].cast("double")
-            terms[f"{c}{j}"] = used * value
-            terms[f"{c}{c}{j}"] = used * value * value
-        score = joint["s"].cast("double")
-        terms[f"s{j}"] = F.col("weight") * score
-        terms[f"ss{j}"] = F.col("weight") * score * score
+            share = weight if c == "s" else count
+            terms[f"{c}_{j}"] = share * value
+            terms[f"{c}{c}_{j}"] = share * value * value
     return terms
 
 
-def _row_terms(df: DataFrame, group: list[str], normalize: bool) -> DataFrame:
-    return df.select(*group, *[e.alias(n) for n, e in _sum_columns(normalize).items()])
+def _row_terms(df: DataFrame, group: list[str], normalize: bool, level: str) -> DataFrame:
+    return df.select(*group, *[e.alias(n) for n, e in _sum_columns(normalize, level).items()])
 
 
 def _summed(df: DataFrame, group: list[str]) -> DataFrame:
@@ -238,42 +246,30 @@ def _summed(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])
 
 
-def _moments(normalize: bool, steps: float) -> dict[tuple[str, int], tuple[Column, Column]]:
-    """Sum and sum of squares per (channel, joint) over the padded clip, normalized if asked."""
-    dev = spread(F.col("n"), F.col("sx"), F.col("sy"), F.col("sq")) + EPSILON
-    centre = {"x": F.col("sx") / F.col("n"), "y": F.col("sy") / F.col("n")}
-    found = {}
-    for j in range(NUM_JOINTS):
-        for c in ("x", "y"):
-            first, second, count = F.col(f"{c}{j}"), F.col(f"{c}{c}{j}"), F.col(f"k{j}")
-            if normalize:
-                mid = centre[c]
-                second = (second - mid * first * 2.0 + mid * mid * count) / (dev * dev)
-                first = (first - mid * count) / dev
-                first, second = F.coalesce(first, F.lit(0.0)), F.coalesce(second, F.lit(0.0))
-            found[c, j] = (first, second)
-        found["s", j] = (F.col(f"s{j}"), F.col(f"ss{j}"))
-    return found
-
-
-def _features(sums: DataFrame, group: list[str], normalize: bool, steps: int, persons: int, level: str) -> DataFrame:
+def _features(
+    sums: DataFrame, group: list[str], normalize: bool, steps: int, persons: int, level: str
+) -> DataFrame:
     """``joint``: mean and deviation per channel and joint (102 numbers); ``pooled``: per channel (6)."""
-    moments = _moments(normalize, steps)
-
-    def pair(first: Column, second: Column, count: float) -> list[Column]:
-        mean = first / F.lit(float(count))
-        return [mean, F.sqrt(F.greatest(second / F.lit(float(count)) - mean * mean, F.lit(0.0)))]
-
+    prepared = sums.select(
+        *sums.columns,
+        (F.col("sx") / F.col("n")).alias("mid_x"),
+        (F.col("sy") / F.col("n")).alias("mid_y"),
+        (spread(F.col("n"), F.col("sx"), F.col("sy"), F.col("sq")) + EPSILON).alias("dev"),
+    )
+    slots = ["all"] if level == "pooled" else list(range(NUM_JOINTS))
+    count = float(steps * persons * (NUM_JOINTS if level == "pooled" else 1))
     values: list[Column] = []
     for c in CHANNELS:
-        if level == "pooled":
-            first = sum((moments[c, j][0] for j in range(1, NUM_JOINTS)), moments[c, 0][0])
-            second = sum((moments[c, j][1] for j in range(1, NUM_JOINTS)), moments[c, 0][1])
-            values += pair(first, second, steps * persons * NUM_JOINTS)
-        else:
-            for j in range(NUM_JOINTS):
-                values += pair(*moments[c, j], steps * persons)
-    return sums.select(*group, F.array(*values).alias("features"))
+        for slot in slots:
+            first, second = F.col(f"{c}_{slot}"), F.col(f"{c}{c}_{slot}")
+            if normalize and c != "s":
+                mid, dev, used = F.col(f"mid_{c}"), F.col("dev"), F.col(f"k_{slot}")
+                second = (second - mid * first * 2.0 + mid * mid * used) / (dev * dev)
+                first = (first - mid * used) / dev
+                first, second = F.coalesce(first, F.lit(0.0)), F.coalesce(second, F.lit(0.0))
+            mean = first / count
+            values += [mean, F.sqrt(F.greatest(second / count - mean * mean, F.lit(0.0)))]
+    return prepared.select(*group, F.array(*values).alias("features"))
 
 
 def clip_features(
@@ -296,17 +292,17 @@ def clip_features(
         .when(last, (F.lit(target) - F.col("frame")).cast("double"))
         .otherwise(1.0)
     )
-    terms = _row_terms(sized.withColumn("weight", weight), [key], normalize)
+    terms = _row_terms(sized.withColumn("weight", weight), [key], normalize, level)
     return _features(_summed(terms, [key]), [key], normalize, target, max_persons, level)
 
 
-def _window_sums(poses, clips, window, stride, normalize, key) -> DataFrame:
+def _window_sums(poses, clips, window, stride, normalize, level, key) -> DataFrame:
     """Sums per (clip, window, person); windows of short clips are edge-padded by weight."""
     placed = assign_windows(poses.select(key, "frame", "person", "joints"), clips, window, stride, key)
     last = (F.col("window_frames") < window) & (F.col("frame") == F.col("window_frames") - 1)
     weight = F.when(last, (F.lit(window) - F.col("frame")).cast("double")).otherwise(1.0)
     group = [key, "start", "person"]
-    return _summed(_row_terms(placed.withColumn("weight", weight), group, normalize), group)
+    return _summed(_row_terms(placed.withColumn("weight", weight), group, normalize, level), group)
 
 
 def window_features(
@@ -321,7 +317,7 @@ def window_features(
 ) -> DataFrame:
     """Features of every window over all people."""
     rows = poses.filter(F.col("person") < max_persons)
-    sums = _window_sums(rows, clips, window, stride, normalize, key).drop("person")
+    sums = _window_sums(rows, clips, window, stride, normalize, level, key).drop("person")
     group = [key, "start"]
     return _features(_summed(sums, group), group, normalize, window, max_persons, level)
 
@@ -341,7 +337,7 @@ def pair_features(
     Sums are taken once per person and window; a pair adds the sums of its two members,
     so no skeleton is repeated per pair.
     """
-    sums = _window_sums(poses, clips, window, stride, normalize, key)
+    sums = _window_sums(poses, clips, window, stride, normalize, level, key)
     members = pairs.select(key, "start", "i", "j", F.explode(F.array("i", "j")).alias("person"))
     joined = members.join(sums, [key, "start", "person"]).drop("person")
     group = [key, "start", "i", "j"]

@@ -68,7 +68,7 @@ def session_incidents(
     On the frame clock, windows of w frames with max_gap g use a gap of w + g seconds, and
     the incident ends at last + w.
     """
-    hot = scores.withWatermark("ts", watermark).filter(F.col("score") >= threshold)
+    hot = scores.filter(F.col("score") >= threshold).withWatermark("ts", watermark)
     return (
         hot.groupBy(key, F.session_window("ts", f"{gap_seconds} seconds").alias("w"))
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("score").alias("peak"))
