@@ -216,7 +216,7 @@ def motion_energy(spark, sf):
     + "SELECT clip_id, frame, round(pressure, 6) AS pressure FROM pressure",
 )
 def crowd_pressure(spark, sf):
-    return people.crowd_pressure(vector_poses(spark, sf), vector_clips(spark, sf)).select(
+    return people.crowd_pressure(people.person_stats(vector_poses(spark, sf)), vector_clips(spark, sf)).select(
         "clip_id", "frame", r6("pressure")
     )
 
@@ -236,7 +236,7 @@ def motion_energy_events(spark, sf):
     + "SELECT clip_id, frame, round(pressure, 6) AS pressure FROM pressure",
 )
 def crowd_pressure_events(spark, sf):
-    return people.crowd_pressure(event_poses(spark, sf), event_clips(spark, sf)).select(
+    return people.crowd_pressure(people.person_stats(event_poses(spark, sf)), event_clips(spark, sf)).select(
         "clip_id", "frame", r6("pressure")
     )
 
@@ -274,7 +274,7 @@ def pairs_sql(distance_scale: float = 2.5, max_pairs: int = 16) -> str:
     + "SELECT clip_id, start, person, round(cx, 6) AS cx, round(cy, 6) AS cy, round(h, 6) AS h, round(tall, 6) AS tall FROM wp",
 )
 def window_people(spark, sf):
-    present = people.window_people(vector_poses(spark, sf), vector_clips(spark, sf), WINDOW, STRIDE)
+    present = people.window_people(people.person_stats(vector_poses(spark, sf)), vector_clips(spark, sf), WINDOW, STRIDE)
     return present.select("clip_id", "start", "person", r6("cx"), r6("cy"), r6("h"), r6("tall"))
 
 
@@ -284,7 +284,7 @@ def window_people(spark, sf):
     + "SELECT clip_id, start, i, j, round(d, 6) AS d, rank FROM pairs",
 )
 def candidate_pairs(spark, sf):
-    return people.candidate_pairs(vector_poses(spark, sf), vector_clips(spark, sf), WINDOW, STRIDE).select(
+    return people.candidate_pairs(people.person_stats(vector_poses(spark, sf)), vector_clips(spark, sf), WINDOW, STRIDE).select(
         "clip_id", "start", "i", "j", r6("d"), "rank"
     )
 
@@ -296,7 +296,7 @@ def candidate_pairs(spark, sf):
 )
 def nearest_pairs_top2(spark, sf):
     found = people.candidate_pairs(
-        vector_poses(spark, sf), vector_clips(spark, sf), WINDOW, STRIDE, max_pairs=2, distance_scale=0.2
+        people.person_stats(vector_poses(spark, sf)), vector_clips(spark, sf), WINDOW, STRIDE, max_pairs=2, distance_scale=0.2
     )
     return found.select("clip_id", "start", "i", "j", r6("d"), "rank")
 
@@ -308,7 +308,7 @@ def nearest_pairs_top2(spark, sf):
 )
 def pair_quality_gate(spark, sf):
     found = people.candidate_pairs(
-        vector_poses(spark, sf), vector_clips(spark, sf), WINDOW, STRIDE, min_pair_height=370.0
+        people.person_stats(vector_poses(spark, sf)), vector_clips(spark, sf), WINDOW, STRIDE, min_pair_height=370.0
     )
     return found.select("clip_id", "start", "i", "j", r6("d"), "rank")
 
@@ -337,7 +337,8 @@ ap AS (SELECT spine.clip_id, spine.frame, least(a, b) AS i, greatest(a, b) AS j
 )
 def activity_pairs(spark, sf):
     poses, clips = vector_poses(spark, sf), vector_clips(spark, sf)
-    found = signals.activity_pairs(poses, signals.person_motion(poses), clips, smooth=3)
+    rows = signals.person_frames(poses)
+    found = signals.activity_pairs(rows.filter("n > 0"), rows, clips, smooth=3)
     return found.select(
         "clip_id",
         "frame",

@@ -18,29 +18,26 @@ HOT_KEYS = 1024
 HOT_SLICES = 1024
 
 
-def chunk_size(reach: int) -> int:
+def chunk_size(reach: int = 0) -> int:
     """Chunk length for a window reaching ``reach`` frames: the halo stays under an eighth."""
     return max(CHUNK, 8 * int(reach))
 
 
-def with_chunk(df: DataFrame, frame: str = "frame", size: int = CHUNK) -> DataFrame:
-    return df.withColumn("chunk", F.expr(f"cast({frame} as bigint) div {size}"))
+def with_chunk(df: DataFrame, frame: str = "frame") -> DataFrame:
+    return df.withColumn("chunk", F.expr(f"cast({frame} as bigint) div {chunk_size()}"))
 
 
-def with_halo(
-    df: DataFrame, frame: str = "frame", back: int = 0, ahead: int = 0, size: int | None = None
-) -> DataFrame:
+def with_halo(df: DataFrame, frame: str = "frame", back: int = 0, ahead: int = 0) -> DataFrame:
     """Add ``chunk`` and ``core``; border rows appear once more per chunk that needs them.
 
     A chunk sees ``back`` frames before its first and ``ahead`` frames after its last.
     ``core`` is true on the one copy that the chunk owns.
     """
-    size = size or chunk_size(back + ahead)
+    size = chunk_size(back + ahead)
     first = f"greatest(cast({frame} as bigint) - {int(ahead)}, 0L) div {size}"
     last = f"(cast({frame} as bigint) + {int(back)}) div {size}"
-    own = f"cast({frame} as bigint) div {size}"
     spread = df.withColumn("chunk", F.expr(f"explode(sequence({first}, {last}))"))
-    return spread.withColumn("core", F.expr(f"chunk = {own}"))
+    return spread.withColumn("core", F.expr(f"chunk = cast({frame} as bigint) div {size}"))
 
 
 def earlier(key: str) -> object:
@@ -53,42 +50,41 @@ def earlier(key: str) -> object:
 
 
 def attach_by_key(
-    df: DataFrame,
-    facts: DataFrame,
-    key: str,
-    weight: str,
-    slice_by: list[str | Column],
-    how: str = "inner",
+    df: DataFrame, facts: DataFrame, key: str, weight: str, slice_by: list[str]
 ) -> DataFrame:
-    """Join one ``facts`` row per key onto ``df`` without gathering a hot key in one task.
+    """Inner join of one ``facts`` row per key onto ``df`` that never gathers a hot key.
 
     The HOT_KEYS heaviest keys (a fixed number of rows) are broadcast. Every other
-    key holds at most 1/HOT_KEYS of the rows and goes through a normal join; rows of
-    the broadcast keys are sliced by a hash of ``slice_by`` so that they spread out.
+    key holds at most 1/HOT_KEYS of the rows and goes through a normal join. Rows of the
+    broadcast keys take a slice number, a hash of ``slice_by``, as their join key, so that
+    they spread out and match nothing. (One text key, because an extra slice column equal
+    to a constant would be optimized away and bring the hot key back together.)
     """
     names = [c for c in facts.columns if c not in (key, weight)]
+    # Both branches read the same columns, so that they share one shuffle of the facts.
     packed = facts.select(
-        F.col(key).alias("_key"), F.col(weight).alias("_weight"), F.struct(*names).alias("_fact")
-    )
+        F.concat(F.lit("k"), F.col(key).cast("string")).alias("_key"),
+        F.col(weight).alias("_weight"),
+        F.struct(*names, F.col(weight).alias("_w")).alias("_fact"),
+    ).filter(F.col("_key").isNotNull())
     hot = (
         packed.orderBy(F.col("_weight").desc(), "_key")
         .limit(HOT_KEYS)
         .select(F.col("_key").alias("_hot_key"), F.col("_fact").alias("_hot"))
     )
-    cold = packed.select("_key", "_fact", F.lit(0).alias("_slice"))
-    sliced = df.join(F.broadcast(hot), df[key] == F.col("_hot_key"), "left").withColumn(
-        "_slice",
-        F.when(F.col("_hot_key").isNull(), 0).otherwise(
-            F.pmod(F.xxhash64(*slice_by), F.lit(HOT_SLICES)).cast("int") + 1
-        ),
+    cold = packed.select(F.col("_key").alias("_cold_key"), "_fact")
+    own_key = F.concat(F.lit("k"), F.col(key).cast("string"))
+    slice_key = F.concat(
+        F.lit("s"), F.pmod(F.xxhash64(*slice_by), F.lit(HOT_SLICES)).cast("string")
     )
-    joined = sliced.join(
-        cold, (sliced[key] == cold["_key"]) & (sliced["_slice"] == cold["_slice"]), "left"
+    marked = df.join(F.broadcast(hot), own_key == F.col("_hot_key"), "left").withColumn(
+        "_join", F.when(F.col("_hot_key").isNotNull(), slice_key).otherwise(own_key)
     )
+    joined = marked.join(cold, F.col("_join") == F.col("_cold_key"), "left")
     fact = F.coalesce("_hot", "_fact")
-    if how == "inner":
-        joined = joined.filter(F.col("_hot_key").isNotNull() | F.col("_key").isNotNull())
-    return joined.select(*[df[c] for c in df.columns], *[fact[n].alias(n) for n in names])
+    return joined.withColumn("_known", fact).filter(F.col("_known").isNotNull()).select(
+        *df.columns, *[F.col("_known")[n].alias(n) for n in names]
+    )
 
 
 def number_rows(df: DataFrame, key: str, slot: Column, order: list[Column], name: str) -> DataFrame:
@@ -97,7 +93,7 @@ def number_rows(df: DataFrame, key: str, slot: Column, order: list[Column], name
     ``slot`` is a coarse column that is monotone in ``order`` (an hour, a date); rows are
     ranked inside (key, slot) and shifted by the count of the earlier slots.
     """
-    slotted = df.withColumn("chunk", slot).repartition(F.col(key), F.col("chunk"))
+    slotted = df.withColumn("chunk", slot)
     counts = slotted.groupBy(key, "chunk").agg(F.count("*").alias("_n"))
     base = counts.select(
         key, "chunk", F.coalesce(F.sum("_n").over(earlier(key)), F.lit(0)).alias("_base")
@@ -120,11 +116,12 @@ def explode_span(
     partitions, so that one very long span does not expand in a single task.
     """
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = chunk_size()
     pieces = df.filter(F.col(end) > F.col(start)).withColumn(
         "_piece",
         F.expr(
-            f"explode(sequence(cast({start} as bigint) div {CHUNK},"
-            f" (cast({end} as bigint) - 1) div {CHUNK}))"
+            f"explode(sequence(cast({start} as bigint) div {size},"
+            f" (cast({end} as bigint) - 1) div {size}))"
         ),
     )
     return (
@@ -132,8 +129,8 @@ def explode_span(
         .withColumn(
             name,
             F.expr(
-                f"explode(sequence(cast(greatest({start}, _piece * {CHUNK}) as int),"
-                f" cast(least({end}, (_piece + 1) * {CHUNK}) - 1 as int)))"
+                f"explode(sequence(cast(greatest({start}, _piece * {size}) as int),"
+                f" cast(least({end}, (_piece + 1) * {size}) - 1 as int)))"
             ),
         )
         .drop("_piece")

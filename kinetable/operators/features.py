@@ -201,15 +201,17 @@ def standardize_channels(poses: DataFrame, max_persons: int = 2, eps: float = 1e
 # --- fixed-size features from one aggregation -------------------------------------------------
 
 
-def _sum_columns(normalize: bool, level: str) -> dict[str, Column]:
-    """Row-level terms whose sums give every feature.
+PLAIN = ("n", "sx", "sy", "sq")
 
-    n, sx, sy, sq: visible joints, unweighted (the normalisation). k_*, x_*, xx_*, ...:
-    weighted by ``weight``, the number of padded time steps the row fills; one set per
-    joint (level ``joint``) or one over all joints (level ``pooled``). With normalisation
-    only visible joints count, otherwise all of them.
+
+def _terms(poses: DataFrame, keep: list[str], normalize: bool, level: str) -> DataFrame:
+    """Skeletons reduced to the numbers whose sums give every feature.
+
+    n, sx, sy, sq: visible joints (the normalisation). k_*, x_*, xx_*, ...: sums that count
+    once per padded time step; one set per joint (level ``joint``) or one over all joints
+    (level ``pooled``). With normalisation only visible joints count, otherwise all of them.
     """
-    joints, weight = F.col("joints"), F.col("weight")
+    joints = F.col("joints")
     seen = visible(joints)
     terms = {
         "n": F.size(seen),
@@ -219,31 +221,32 @@ def _sum_columns(normalize: bool, level: str) -> dict[str, Column]:
     }
     if level == "pooled":
         used = seen if normalize else joints
-        terms["k_all"] = weight * F.size(used)
+        terms["k_all"] = F.size(used)
         for c in CHANNELS:
             points = joints if c == "s" else used
-            terms[f"{c}_all"] = weight * total(points, c)
-            terms[f"{c}{c}_all"] = weight * total_square(points, c)
-        return terms
-    for j in range(NUM_JOINTS):
-        joint = joints[j]
-        count = weight * (F.when(joint["s"] > 0, 1.0).otherwise(0.0) if normalize else F.lit(1.0))
-        terms[f"k_{j}"] = count
-        for c in CHANNELS:
-            value = joint[c].cast("double")
-            share = weight if c == "s" else count
-            terms[f"{c}_{j}"] = share * value
-            terms[f"{c}{c}_{j}"] = share * value * value
-    return terms
+            terms[f"{c}_all"] = total(points, c)
+            terms[f"{c}{c}_all"] = total_square(points, c)
+    else:
+        for j in range(NUM_JOINTS):
+            joint = joints[j]
+            count = F.when(joint["s"] > 0, 1.0).otherwise(0.0) if normalize else F.lit(1.0)
+            terms[f"k_{j}"] = count
+            for c in CHANNELS:
+                value = joint[c].cast("double") if c == "s" else count * joint[c].cast("double")
+                terms[f"{c}_{j}"] = value
+                terms[f"{c}{c}_{j}"] = value * joint[c].cast("double")
+    return poses.select(*keep, *[e.alias(n) for n, e in terms.items()])
 
 
-def _row_terms(df: DataFrame, group: list[str], normalize: bool, level: str) -> DataFrame:
-    return df.select(*group, *[e.alias(n) for n, e in _sum_columns(normalize, level).items()])
+def _summed(df: DataFrame, group: list[str], weight: Column | None = None) -> DataFrame:
+    names = [c for c in df.columns if c.split("_")[0] in (*PLAIN, "k", "x", "xx", "y", "yy", "s", "ss") and c not in group]
+    if weight is not None:
+        df = df.withColumn("weight", weight)
 
+    def term(name: str) -> Column:
+        return F.col(name) if weight is None or name in PLAIN else F.col(name) * F.col("weight")
 
-def _summed(df: DataFrame, group: list[str]) -> DataFrame:
-    names = [c for c in df.columns if c not in group]
-    return df.groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])
+    return df.groupBy(*group).agg(*[F.sum(term(n)).alias(n) for n in names])
 
 
 def _features(
@@ -282,27 +285,27 @@ def clip_features(
     key: str = "clip_id",
 ) -> DataFrame:
     """Features of each clip as if cut or edge-padded to ``target`` frames: one aggregation."""
-    lengths = clips.select(key, F.col("num_frames").alias("_frames"), F.col("num_frames").alias("_w"))
-    sized = attach_by_key(
-        poses.filter(F.col("person") < max_persons), lengths, key, "_w", ["frame", "person"]
+    rows = _terms(
+        poses.filter(F.col("person") < max_persons), [key, "frame", "person"], normalize, level
     )
+    lengths = clips.select(key, F.col("num_frames").alias("_frames"), F.col("num_frames").alias("_w"))
+    sized = attach_by_key(rows, lengths, key, "_w", ["frame", "person"])
     last = (F.col("frame") == F.col("_frames") - 1) & (F.col("_frames") < target)
     weight = (
         F.when(F.col("frame") >= target, 0.0)
         .when(last, (F.lit(target) - F.col("frame")).cast("double"))
         .otherwise(1.0)
     )
-    terms = _row_terms(sized.withColumn("weight", weight), [key], normalize, level)
-    return _features(_summed(terms, [key]), [key], normalize, target, max_persons, level)
+    return _features(_summed(sized, [key], weight), [key], normalize, target, max_persons, level)
 
 
 def _window_sums(poses, clips, window, stride, normalize, level, key) -> DataFrame:
     """Sums per (clip, window, person); windows of short clips are edge-padded by weight."""
-    placed = assign_windows(poses.select(key, "frame", "person", "joints"), clips, window, stride, key)
+    rows = _terms(poses, [key, "frame", "person"], normalize, level)
+    placed = assign_windows(rows, clips, window, stride, key)
     last = (F.col("window_frames") < window) & (F.col("frame") == F.col("window_frames") - 1)
     weight = F.when(last, (F.lit(window) - F.col("frame")).cast("double")).otherwise(1.0)
-    group = [key, "start", "person"]
-    return _summed(_row_terms(placed.withColumn("weight", weight), group, normalize, level), group)
+    return _summed(placed, [key, "start", "person"], weight)
 
 
 def window_features(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetable.functions.numeric import seconds, temporal_iou
-from kinetable.operators.chunks import attach_by_key, chunk_size, earlier, explode_span, with_halo
+from kinetable.operators.chunks import attach_by_key, earlier, explode_span, with_halo
 
 DEMOTED = 0.9  # demoted frames stay at or below this share of the threshold (fixed value)
 MARK_LIFT = 0.01  # manual marks are lifted this much above the threshold (fixed value)
@@ -35,7 +35,7 @@ def find_incidents(
         key, F.col(start).alias("_s"), F.col(score).cast("double").alias("_v")
     )
     reach = int(window) + int(max_gap)
-    halo = with_halo(hot, "_s", back=reach, size=chunk_size(reach))
+    halo = with_halo(hot, "_s", back=reach)
     order = Window.partitionBy(key, "chunk").orderBy("_s")
     before = F.lag("_s").over(order)
     opened = halo.withColumn(
@@ -47,9 +47,10 @@ def find_incidents(
     pieces = runs.groupBy(key, "chunk", "_run").agg(
         F.min("_s").alias("_s"), (F.max("_s") + window).alias("_e"), F.max("_v").alias("_v")
     )
-    # The run a chunk hands on; NULL where the whole chunk continues an earlier run.
-    handed = pieces.groupBy(key, "chunk").agg(F.max("_run").alias("_last"))
-    carried = handed.select(key, "chunk", F.max("_last").over(earlier(key)).alias("_carry"))
+    # The run a chunk hands on; NULL where the whole chunk continues an earlier run. It keeps
+    # every column of the pieces, so that both branches read one and the same shuffle.
+    handed = pieces.groupBy(key, "chunk").agg(F.max(F.struct("_run", "_s", "_e", "_v")).alias("_last"))
+    carried = handed.select(key, "chunk", F.max("_last").over(earlier(key))["_run"].alias("_carry"))
     placed = pieces.join(carried, [key, "chunk"]).withColumn("_run", F.coalesce("_run", "_carry"))
     return placed.groupBy(key, "_run").agg(
         F.min("_s").cast("int").alias("start"),

@@ -151,7 +151,7 @@ def dense_frames(df: DataFrame, key: str = "clip", frame: str = "frame", out: st
     Ranks are taken inside chunks of frame numbers and shifted by the count of the
     earlier chunks.
     """
-    chunked = with_chunk(df.withColumn("_f", F.col(frame)), "_f").repartition(F.col(key), F.col("chunk"))
+    chunked = with_chunk(df.withColumn("_f", F.col(frame)), "_f")
     counts = chunked.groupBy(key, "chunk").agg(F.count_distinct("_f").alias("_n"))
     base = counts.select(
         key,

@@ -14,24 +14,31 @@ ROW_SLOTS = 64
 MIN_HEIGHT_JOINTS = 5  # visible joints a frame needs to count for the height gate (fixed value)
 
 
-def person_stats(poses: DataFrame, key: str = "clip_id") -> DataFrame:
-    """Visible count, coordinate sums, centroid and vertical extent of every visible person-frame."""
+def with_stats(poses: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` plus visible count, coordinate sums, vertical extent and centroid of ``joints``."""
     seen = visible(F.col("joints"))
     stats = poses.select(
-        key,
-        "frame",
-        "person",
+        *keep,
         F.size(seen).alias("n"),
         total(seen, "x").alias("sx"),
         total(seen, "y").alias("sy"),
         lowest(seen, "y").alias("low"),
         highest(seen, "y").alias("high"),
     )
-    return stats.filter(F.col("n") > 0).withColumns(
-        {"cx": F.col("sx") / F.col("n"), "cy": F.col("sy") / F.col("n")}
+    shown = F.col("n") > 0
+    return stats.withColumns(
+        {
+            "cx": F.when(shown, F.col("sx") / F.col("n")),
+            "cy": F.when(shown, F.col("sy") / F.col("n")),
+        }
     )
 
 
+def person_stats(poses: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Statistics of every person-frame with at least one visible joint."""
+    return with_stats(poses, [key, "frame", "person"]).filter(F.col("n") > 0)
+
+
 def checked_slot(slots: int) -> Column:
     """The person slot, failing the job when it is outside the declared number of slots."""
     return F.when(
@@ -119,10 +126,13 @@ def _unpack(df: DataFrame, group: list[str]) -> DataFrame:
 
 
 def crowd_pressure(
-    poses: DataFrame, clips: DataFrame, key: str = "clip_id", max_persons: int = 16
+    stats: DataFrame, clips: DataFrame, key: str = "clip_id", max_persons: int = 16
 ) -> DataFrame:
-    """Mean closeness of visible people to their nearest neighbour, per frame; 0 below two people."""
-    people = person_stats(poses, key).select(
+    """Mean closeness of visible people to their nearest neighbour, per frame; 0 below two people.
+
+    ``stats`` is the result of ``person_stats``.
+    """
+    people = stats.select(
         key, "frame", "person", "cx", "cy",
         F.greatest(F.col("high") - F.col("low"), F.lit(1.0)).alias("h"),
     )
@@ -136,7 +146,7 @@ def crowd_pressure(
 
 
 def window_people(
-    poses: DataFrame,
+    stats: DataFrame,
     clips: DataFrame,
     window: int = 64,
     stride: int = 16,
@@ -147,9 +157,10 @@ def window_people(
 
     A person is present when visible in at least ``min_visibility`` of the window's frames.
     ``tall`` is the median height over frames with enough joints (NULL when there is none).
+    ``stats`` is the result of ``person_stats``.
     """
     height = F.when(F.col("n") >= MIN_HEIGHT_JOINTS, F.col("high") - F.col("low"))
-    slim = person_stats(poses, key).withColumn("height", height)
+    slim = stats.withColumn("height", height)
     placed = assign_windows(slim, clips, window, stride, key)
     return (
         placed.groupBy(key, "start", "person")
@@ -167,7 +178,7 @@ def window_people(
 
 
 def candidate_pairs(
-    poses: DataFrame,
+    stats: DataFrame,
     clips: DataFrame,
     window: int = 64,
     stride: int = 16,
@@ -182,8 +193,9 @@ def candidate_pairs(
 
     Each present person proposes the nearest other one when within ``distance_scale``
     median sizes. The ``max_pairs`` closest are kept and then pass the height gate.
+    ``stats`` is the result of ``person_stats``.
     """
-    present = window_people(poses, clips, window, stride, min_visibility, key)
+    present = window_people(stats, clips, window, stride, min_visibility, key)
     near = neighbours(present, [key, "start"], max_persons, extra="tall")
     proposed = near.filter(F.col("d") <= F.lit(distance_scale) * F.col("scale")).select(
         key,

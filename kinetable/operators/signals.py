@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.functions.joints import distance, highest, lowest, shared_steps, visible
+from kinetable.functions.joints import distance, shared_steps
 from kinetable.functions.numeric import clip
 from kinetable.operators.chunks import frame_spine, with_chunk, with_halo
-from kinetable.operators.people import ROW_SLOTS, checked_slot, person_stats
+from kinetable.operators.people import ROW_SLOTS, checked_slot, with_stats
 from kinetable.operators.windows import frame_windows
 
 MIN_MOTION_HEIGHT = 8.0  # pixels (fixed value)
@@ -100,7 +100,7 @@ def normalize_signal(
     The range is summed up per chunk first; each chunk then reads its stream's range, so
     the join key never gathers more than one chunk.
     """
-    chunked = with_chunk(df, frame).repartition(F.col(key), F.col("chunk"))
+    chunked = with_chunk(df, frame)
     parts = chunked.groupBy(key, "chunk").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     whole = Window.partitionBy(key)
     ranges = parts.select(
@@ -119,31 +119,33 @@ def normalize_signal(
 # --- motion ----------------------------------------------------------------------------
 
 
-def person_motion(poses: DataFrame, min_joints: int = 3, key: str = "clip_id") -> DataFrame:
-    """Height-normalized mean joint displacement of each person since the previous frame."""
+def person_frames(poses: DataFrame, min_joints: int = 3, key: str = "clip_id") -> DataFrame:
+    """Every skeleton reduced to its statistics and its motion, in one pass over the joints.
+
+    ``motion`` is the mean displacement of the joints visible now and one frame before,
+    divided by the height of the visible joints; the other columns are those of
+    ``person_stats``. This is the only step that moves whole skeletons.
+    """
     halo = with_halo(poses.select(key, "frame", "person", "joints"), back=1)
     track = Window.partitionBy(key, "chunk", "person").orderBy("frame")
     linked = halo.withColumns(
         {"_before": F.lag("joints").over(track), "_at": F.lag("frame").over(track)}
     ).filter("core")
     moves = shared_steps(F.col("joints"), F.col("_before"))
-    seen = visible(F.col("joints"))
-    stepped = linked.select(
-        key,
-        "frame",
-        "person",
-        F.when(F.col("_at") == F.col("frame") - 1, moves).alias("_moves"),
-        F.greatest(highest(seen, "y") - lowest(seen, "y"), F.lit(MIN_MOTION_HEIGHT)).alias("_height"),
+    stepped = with_stats(
+        linked.withColumn("_moves", F.when(F.col("_at") == F.col("frame") - 1, moves)),
+        [key, "frame", "person", "_moves"],
     )
     mean = F.aggregate("_moves", F.lit(0.0), lambda acc, d: acc + d) / F.size("_moves")
-    return stepped.select(
-        key,
-        "frame",
-        "person",
-        F.when(F.size("_moves") >= min_joints, mean / F.col("_height"))
-        .otherwise(F.lit(0.0))
-        .alias("motion"),
-    )
+    height = F.greatest(F.col("high") - F.col("low"), F.lit(MIN_MOTION_HEIGHT))
+    return stepped.withColumn(
+        "motion", F.when(F.size("_moves") >= min_joints, mean / height).otherwise(F.lit(0.0))
+    ).drop("_moves")
+
+
+def person_motion(poses: DataFrame, min_joints: int = 3, key: str = "clip_id") -> DataFrame:
+    """Height-normalized mean joint displacement of each person since the previous frame."""
+    return person_frames(poses, min_joints, key).select(key, "frame", "person", "motion")
 
 
 def motion_energy(motion: DataFrame, clips: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -155,7 +157,7 @@ def motion_energy(motion: DataFrame, clips: DataFrame, key: str = "clip_id") ->
 
 
 def activity_pairs(
-    poses: DataFrame,
+    stats: DataFrame,
     motion: DataFrame,
     clips: DataFrame,
     smooth: int,
@@ -166,10 +168,11 @@ def activity_pairs(
 
     Every frame is returned; pair is NULL when nobody moves, the mover is not visible, or
     nobody else is. The highest slot wins equal motion, the lowest slot equal distance.
+    ``stats`` is the result of ``person_stats``, ``motion`` of ``person_motion``.
     """
     if max_persons > ROW_SLOTS:
-        return _activity_pairs_by_rows(poses, motion, clips, smooth, key, max_persons)
-    rows = _smoothed_people(poses, motion, clips, smooth, key, max_persons)
+        return _activity_pairs_by_rows(stats, motion, clips, smooth, key, max_persons)
+    rows = _smoothed_people(stats, motion, clips, smooth, key, max_persons)
     people = rows.groupBy(key, "frame").agg(
         F.collect_list(F.struct("smooth", "person", "cx", "cy")).alias("people")
     )
@@ -189,9 +192,9 @@ def activity_pairs(
     return found.select(key, "frame", _pair(F.col("a.person"), F.col("near.person")))
 
 
-def _activity_pairs_by_rows(poses, motion, clips, smooth, key, max_persons) -> DataFrame:
+def _activity_pairs_by_rows(stats, motion, clips, smooth, key, max_persons) -> DataFrame:
     """Same result for slot counts too large for one row: one aggregate per step."""
-    rows = _smoothed_people(poses, motion, clips, smooth, key, max_persons)
+    rows = _smoothed_people(stats, motion, clips, smooth, key, max_persons)
     lead = (
         rows.groupBy(key, "frame")
         .agg(F.max(F.struct("smooth", "person", "cx", "cy")).alias("a"))
@@ -217,12 +220,12 @@ def _pair(a: Column, b: Column) -> Column:
     ).alias("pair")
 
 
-def _smoothed_people(poses, motion, clips, smooth, key, max_persons) -> DataFrame:
+def _smoothed_people(stats, motion, clips, smooth, key, max_persons) -> DataFrame:
     """Every slot of every frame with its smoothed motion, and its centroid where visible."""
     spine = frame_spine(clips, key).withColumn(
         "person", F.explode(F.sequence(F.lit(0), F.lit(max_persons - 1)))
     )
-    centres = person_stats(poses, key).select(
+    centres = stats.select(
         key, "frame", checked_slot(max_persons).alias("person"), "cx", "cy"
     )
     rows = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.operators.chunks import CHUNK, attach_by_key
+from kinetable.operators.chunks import attach_by_key, chunk_size
 
 
 def last_start(frames: Column, window: int) -> Column:
@@ -21,15 +21,16 @@ def window_starts(
     blocks that are dealt out over the shuffle partitions.
     """
     slots = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = chunk_size()
     counted = clips.select(
         key, F.col("num_frames"), last_start(F.col("num_frames"), window).alias("_last")
     ).withColumn("_steps", F.expr(f"cast(ceil(_last / {float(stride)}) as bigint)"))
     blocks = counted.withColumn(
-        "_block", F.expr(f"explode(sequence(0L, _steps div {CHUNK}))")
+        "_block", F.expr(f"explode(sequence(0L, _steps div {size}))")
     ).repartition(slots, key, "_block")
     steps = blocks.withColumn(
         "_step",
-        F.expr(f"explode(sequence(_block * {CHUNK}, least(_block * {CHUNK} + {CHUNK} - 1, _steps)))"),
+        F.expr(f"explode(sequence(_block * {size}, least(_block * {size} + {size} - 1, _steps)))"),
     )
     start = F.least(F.col("_step") * stride, F.col("_last")).cast("int")
     end = F.least(start + window, F.col("num_frames")).cast("int")

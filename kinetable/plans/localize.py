@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinetable.config import LocalizeConfig
 from kinetable.operators.features import pair_features, window_features
 from kinetable.operators.incidents import find_incidents
-from kinetable.operators.people import candidate_pairs
+from kinetable.operators.people import candidate_pairs, person_stats
 from kinetable.operators.scoring import Scorer, worst_pairs
 from kinetable.operators.windows import window_starts
 
@@ -36,13 +36,15 @@ def score_pairs(
     cfg: LocalizeConfig = LocalizeConfig(),
     level: str = "joint",
     key: str = "clip_id",
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Crowd scoring: per window the worst interacting pair, (key, start, prob, pair).
 
     Pairs below the height gate are never scored; a window without pairs scores 0.
+    ``stats`` may hand in person statistics that are already stored.
     """
     pairs = candidate_pairs(
-        poses, clips, cfg.window, cfg.stride, cfg.max_pairs, cfg.distance_scale,
+        person_stats(poses, key) if stats is None else stats, clips, cfg.window, cfg.stride, cfg.max_pairs, cfg.distance_scale,
         cfg.min_visibility, cfg.min_pair_height, key, cfg.max_persons,
     )
     features = pair_features(

@@ -27,7 +27,7 @@ from kinetable.operators.signals import (
     highlight,
     motion_energy,
     moving_average,
-    person_motion,
+    person_frames,
     pressure_spikes,
 )
 from kinetable.plans.localize import score_pairs, score_windows
@@ -43,22 +43,16 @@ class Review:
     trigger: DataFrame | None
 
 
-def model_curve(
-    poses: DataFrame, clips: DataFrame, scorer: Scorer, cfg: ReviewConfig, crowd: bool, level: str, key: str
+def activity_frames(
+    people: DataFrame, clips: DataFrame, cfg: ReviewConfig, key: str = "clip_id"
 ) -> DataFrame:
-    """Per-frame model score and the pair behind it."""
-    score = score_pairs if crowd else score_windows
-    windows = score(poses, clips, scorer, cfg, level, key)
-    return frame_scores(windows, clips, cfg.window, key).withColumnsRenamed(
-        {"score": "model", "pair": "model_pair"}
-    )
-
+    """Per-frame activity curve, pressure spike and the pair around the most agitated person.
 
-def activity_frames(poses: DataFrame, clips: DataFrame, cfg: ReviewConfig, key: str = "clip_id") -> DataFrame:
-    """Per-frame activity curve, pressure spike and the pair around the most agitated person."""
-    motion = person_motion(poses, key=key)
+    ``people`` is the result of ``person_frames``.
+    """
+    stats, motion = people.filter(F.col("n") > 0), people.select(key, "frame", "person", "motion")
     energy = motion_energy(motion, clips, key)
-    pressure = crowd_pressure(poses, clips, key, cfg.max_persons)
+    pressure = crowd_pressure(stats, clips, key, cfg.max_persons)
     signals = energy.join(pressure, [key, "frame"])
     smooth = moving_average(signals, "energy", cfg.smooth_frames, "smooth", key)
     spiked = pressure_spikes(smooth, "pressure", cfg.baseline_frames, "spike", key)
@@ -66,7 +60,7 @@ def activity_frames(poses: DataFrame, clips: DataFrame, cfg: ReviewConfig, key:
         F.col("smooth"), F.col("spike"), cfg.motion_floor, cfg.motion_saturate,
         cfg.motion_weight, cfg.pressure_weight,
     )
-    pairs = activity_pairs(poses, motion, clips, cfg.smooth_frames, key, cfg.max_persons)
+    pairs = activity_pairs(stats, motion, clips, cfg.smooth_frames, key, cfg.max_persons)
     return spiked.select(key, "frame", "spike", curve.alias("activity")).join(
         pairs.withColumnRenamed("pair", "activity_pair"), [key, "frame"]
     )
@@ -81,15 +75,26 @@ def review_frames(
     level: str = "joint",
     key: str = "clip_id",
 ) -> DataFrame:
-    """Per frame: model, activity, score, is_activity, pair (and spike in crowd scenes)."""
-    model = model_curve(poses, clips, scorer, cfg, crowd, level, key)
+    """Per frame: model, activity, score, is_activity, pair (and spike in crowd scenes).
+
+    Skeletons are reduced once to a narrow table of person statistics, which is stored
+    because the pair search and every activity signal read it.
+    """
     if not crowd:
-        return model.select(
-            key, "frame", "model", F.lit(None).cast("double").alias("activity"),
-            F.col("model").alias("score"), F.lit(False).alias("is_activity"),
-            F.col("model_pair").alias("pair"), F.lit(0.0).alias("spike"),
+        windows = score_windows(poses, clips, scorer, cfg, level, key)
+        curve = frame_scores(windows, clips, cfg.window, key)
+        return curve.select(
+            key, "frame", F.col("score").alias("model"), F.lit(None).cast("double").alias("activity"),
+            "score", F.lit(False).alias("is_activity"), "pair", F.lit(0.0).alias("spike"),
         )
-    joined = arbitrate(model.join(activity_frames(poses, clips, cfg, key), [key, "frame"]))
+    people = materialize(person_frames(poses, key=key), "people")
+    windows = score_pairs(
+        poses, clips, scorer, cfg, level, key, stats=people.filter(F.col("n") > 0)
+    )
+    model = frame_scores(windows, clips, cfg.window, key).withColumnsRenamed(
+        {"score": "model", "pair": "model_pair"}
+    )
+    joined = arbitrate(model.join(activity_frames(people, clips, cfg, key), [key, "frame"]))
     pair = highlight(F.col("is_activity"), F.col("activity_pair"), F.col("model_pair"))
     return joined.select(
         key, "frame", "model", "activity", "score", "is_activity", pair.alias("pair"), "spike"
