@@ -215,7 +215,7 @@ pj AS (
   SELECT cast(user_id AS varchar) AS clip_id, cast(rn//4 AS int) AS frame, cast(rn%4 AS int) AS person,
          cast(r.j AS int) AS j, cast((event_id*31 + r.j*17) % 1000 AS double) AS x,
          cast((event_id*13 + r.j*29) % 700 AS double) AS y,
-         CASE WHEN (event_id + r.j) % 5 > 0 THEN 1.0 ELSE 0.0 END AS s
+         CASE WHEN (event_id + r.j) % 5 > 0 THEN 1.0::double ELSE 0.0 END AS s
   FROM rn, range(17) r(j))"""
 
 EVENT_CLIPS = """

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from kinetable import dims
 from kinetable.catalog.adapters import (
+    EVENT_JOINTS,
     PERSON_STATS,
     PREDICTIONS,
     SPINE,
     VECTOR_CLIPS,
     VECTOR_JOINTS,
+    event_poses,
     predictions,
     table,
     vector_clips,
@@ -51,6 +53,15 @@ def normalize_clip(spark, sf):
     return long_joints(features.normalize_clips(vector_poses(spark, sf)))
 
 
+@query(
+    "normalize_clip_events",
+    with_tables(EVENT_JOINTS, NORMS)
+    + "SELECT clip_id, frame, person, j, round(x, 6) AS x, round(y, 6) AS y, round(s, 6) AS s FROM nj",
+)
+def normalize_clip_events(spark, sf):
+    return long_joints(features.normalize_clips(event_poses(spark, sf)))
+
+
 @query(
     "pad_truncate",
     with_tables(VECTOR_JOINTS, VECTOR_CLIPS)

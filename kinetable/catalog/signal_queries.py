@@ -8,6 +8,7 @@ from kinetable.catalog.adapters import (
     EVENT_CLIPS,
     EVENT_JOINTS,
     LONG_SCORE_STREAMS,
+    LONG_STREAM_CLIPS,
     PERSON_STATS,
     SCORE_STREAMS,
     SPINE,
@@ -16,6 +17,8 @@ from kinetable.catalog.adapters import (
     VECTOR_JOINTS,
     event_clips,
     event_poses,
+    long_score_streams,
+    long_stream_clips,
     score_streams,
     stream_clips,
     vector_clips,
@@ -347,6 +350,21 @@ def activity_pairs(spark, sf):
     )
 
 
+# --- the same operators on the larger derived inputs -------------------------------------
+
+
+def _long_window_scores(spark, sf):
+    starts = windows.window_starts(long_stream_clips(spark, sf), 64, 16)
+    first = long_score_streams(spark, sf).select(
+        "clip_id", F.col("frame").alias("start"), F.col("score").alias("prob")
+    )
+    return starts.join(first, ["clip_id", "start"])
+
+
+LONG_STARTS = STARTS.replace(f"num_frames - {WINDOW}", "num_frames - 64").replace(
+    f"s + {WINDOW}", "s + 64").replace(f"last + 1, {STRIDE}", "last + 1, 16")
+
+
 @query(
     "long_moving_average",
     with_tables(LONG_SCORE_STREAMS)
@@ -354,8 +372,42 @@ def activity_pairs(spark, sf):
             ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) / 15.0, 6) AS smooth FROM fs""",
 )
 def long_moving_average(spark, sf):
-    from kinetable.catalog.adapters import long_score_streams
-
     return signals.moving_average(long_score_streams(spark, sf), "score", 15).select(
         "clip_id", "frame", r6("smooth")
     )
+
+
+@query(
+    "long_pressure_spikes",
+    with_tables(LONG_SCORE_STREAMS)
+    + """SELECT clip_id, frame, round(greatest(score - quantile_cont(score, 0.5) OVER (PARTITION BY clip_id
+            ORDER BY frame ROWS BETWEEN 300 PRECEDING AND CURRENT ROW), 0), 6) AS spike FROM fs""",
+)
+def long_pressure_spikes(spark, sf):
+    return signals.pressure_spikes(long_score_streams(spark, sf), "score", 300).select(
+        "clip_id", "frame", r6("spike")
+    )
+
+
+@query(
+    "long_frame_scores",
+    with_tables(LONG_SCORE_STREAMS, LONG_STREAM_CLIPS, LONG_STARTS)
+    + """, ws AS (SELECT s.*, fs.score AS prob FROM starts s JOIN fs ON fs.clip_id = s.clip_id AND fs.frame = s.start),
+         cov AS (SELECT clip_id, cast(unnest(range(start, "end")) AS int) AS frame, prob FROM ws)
+         SELECT clip_id, frame, round(avg(prob), 6) AS score FROM cov GROUP BY 1, 2""",
+)
+def long_frame_scores(spark, sf):
+    curve = signals.frame_scores(_long_window_scores(spark, sf), long_stream_clips(spark, sf), 64)
+    return curve.select("clip_id", "frame", r6("score"))
+
+
+@query(
+    "candidate_pairs_events",
+    with_tables(EVENT_JOINTS, EVENT_CLIPS, STARTS, PERSON_STATS, WINDOW_PEOPLE, pairs_sql())
+    + "SELECT clip_id, start, i, j, round(d, 6) AS d, rank FROM pairs",
+)
+def candidate_pairs_events(spark, sf):
+    stats = people.person_stats(event_poses(spark, sf))
+    return people.candidate_pairs(stats, event_clips(spark, sf), WINDOW, STRIDE).select(
+        "clip_id", "start", "i", "j", r6("d"), "rank"
+    )
