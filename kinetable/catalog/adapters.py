@@ -186,11 +186,15 @@ def event_poses(spark: SparkSession, sf: str) -> DataFrame:
     numbered = number_rows(
         events, "clip_id", F.expr("unix_micros(ts) div 3600000000L"), [F.col("ts"), F.col("event_id")], "rn"
     )
+    # Written out joint by joint, so that it compiles instead of running a lambda per joint.
     joints = F.expr(
-        "transform(sequence(0, 16), j -> struct("
-        "cast((event_id*31 + j*17) % 1000 AS double) AS x,"
-        "cast((event_id*13 + j*29) % 700 AS double) AS y,"
-        "cast(CASE WHEN (event_id + j) % 5 > 0 THEN 1 ELSE 0 END AS double) AS s))"
+        "array("
+        + ",".join(
+            f"struct(double((event_id*31 + {j * 17}) % 1000) AS x, double((event_id*13 + {j * 29}) % 700) AS y,"
+            f" if((event_id + {j}) % 5 > 0, 1.0D, 0.0D) AS s)"
+            for j in range(17)
+        )
+        + ")"
     )
     return numbered.select(
         "clip_id",

@@ -32,5 +32,9 @@ def with_tables(*parts: str) -> str:
 
 
 def r6(name: str, out: str | None = None) -> Column:
-    """Round a computed double so that both engines agree on it."""
-    return F.round(F.col(name).cast("double"), 6).alias(out or name)
+    """Round a computed double to six places, halves away from zero, as DuckDB does.
+
+    Plain double arithmetic: ``round`` would go through a decimal object per value.
+    """
+    value = F.col(name).cast("double")
+    return (F.signum(value) * F.floor(F.abs(value) * 1e6 + 0.5) / 1e6).alias(out or name)

@@ -15,20 +15,12 @@ def visible(joints: Column) -> Column:
     return F.filter(joints, lambda j: j.s > 0)
 
 
-def total(points: Column, axis: str) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda acc, p: acc + _num(p[axis]))
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + _num(v))
 
 
-def total_square(points: Column, axis: str) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda acc, p: acc + _num(p[axis]) * _num(p[axis]))
-
-
-def lowest(points: Column, axis: str) -> Column:
-    return F.array_min(F.transform(points, lambda p: _num(p[axis])))
-
-
-def highest(points: Column, axis: str) -> Column:
-    return F.array_max(F.transform(points, lambda p: _num(p[axis])))
+def array_sum_square(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + _num(v) * _num(v))
 
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.dims import NUM_JOINTS, skeleton_edges
-from kinetable.functions.joints import total, total_square, visible
+from kinetable.functions.joints import array_sum, array_sum_square, visible
 from kinetable.operators.chunks import attach_by_key
 from kinetable.operators.windows import assign_windows, pad_or_truncate
 
@@ -26,13 +26,13 @@ def spread(n: Column, sx: Column, sy: Column, sq: Column) -> Column:
 
 def clip_norms(poses: DataFrame, key: str = "clip_id") -> DataFrame:
     """Per clip the mean of the visible joints and their pooled deviation."""
-    seen = visible(F.col("joints"))
-    rows = poses.select(
+    shown = poses.select(key, visible(F.col("joints")).alias("_seen"))
+    rows = shown.select(
         key,
-        F.size(seen).alias("n"),
-        total(seen, "x").alias("sx"),
-        total(seen, "y").alias("sy"),
-        (total_square(seen, "x") + total_square(seen, "y")).alias("sq"),
+        F.size("_seen").alias("n"),
+        array_sum(F.col("_seen.x")).alias("sx"),
+        array_sum(F.col("_seen.y")).alias("sy"),
+        (array_sum_square(F.col("_seen.x")) + array_sum_square(F.col("_seen.y"))).alias("sq"),
     )
     sums = rows.groupBy(key).agg(
         F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sq")]
@@ -211,21 +211,21 @@ def _terms(poses: DataFrame, keep: list[str], normalize: bool, level: str) -> Da
     once per padded time step; one set per joint (level ``joint``) or one over all joints
     (level ``pooled``). With normalisation only visible joints count, otherwise all of them.
     """
+    rows = poses.withColumn("_seen", visible(F.col("joints")))
     joints = F.col("joints")
-    seen = visible(joints)
     terms = {
-        "n": F.size(seen),
-        "sx": total(seen, "x"),
-        "sy": total(seen, "y"),
-        "sq": total_square(seen, "x") + total_square(seen, "y"),
+        "n": F.size("_seen"),
+        "sx": array_sum(F.col("_seen.x")),
+        "sy": array_sum(F.col("_seen.y")),
+        "sq": array_sum_square(F.col("_seen.x")) + array_sum_square(F.col("_seen.y")),
     }
     if level == "pooled":
-        used = seen if normalize else joints
+        used = "_seen" if normalize else "joints"
         terms["k_all"] = F.size(used)
         for c in CHANNELS:
-            points = joints if c == "s" else used
-            terms[f"{c}_all"] = total(points, c)
-            terms[f"{c}{c}_all"] = total_square(points, c)
+            values = F.col(f"joints.{c}" if c == "s" else f"{used}.{c}")
+            terms[f"{c}_all"] = array_sum(values)
+            terms[f"{c}{c}_all"] = array_sum_square(values)
     else:
         for j in range(NUM_JOINTS):
             joint = joints[j]
@@ -235,7 +235,7 @@ def _terms(poses: DataFrame, keep: list[str], normalize: bool, level: str) -> Da
                 value = joint[c].cast("double") if c == "s" else count * joint[c].cast("double")
                 terms[f"{c}_{j}"] = value
                 terms[f"{c}{c}_{j}"] = value * joint[c].cast("double")
-    return poses.select(*keep, *[e.alias(n) for n, e in terms.items()])
+    return rows.select(*keep, *[e.alias(n) for n, e in terms.items()])
 
 
 def _summed(df: DataFrame, group: list[str], weight: Column | None = None) -> DataFrame:

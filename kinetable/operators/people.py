@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.functions.joints import distance, highest, lowest, median_of, total, visible
+from kinetable.functions.joints import array_sum, distance, median_of, visible
 from kinetable.operators.chunks import frame_spine
 from kinetable.operators.windows import assign_windows
 
@@ -16,14 +16,14 @@ MIN_HEIGHT_JOINTS = 5  # visible joints a frame needs to count for the height ga
 
 def with_stats(poses: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` plus visible count, coordinate sums, vertical extent and centroid of ``joints``."""
-    seen = visible(F.col("joints"))
-    stats = poses.select(
+    shown_joints = poses.select(*keep, visible(F.col("joints")).alias("_seen"))
+    stats = shown_joints.select(
         *keep,
-        F.size(seen).alias("n"),
-        total(seen, "x").alias("sx"),
-        total(seen, "y").alias("sy"),
-        lowest(seen, "y").alias("low"),
-        highest(seen, "y").alias("high"),
+        F.size("_seen").alias("n"),
+        array_sum(F.col("_seen.x")).alias("sx"),
+        array_sum(F.col("_seen.y")).alias("sy"),
+        F.array_min("_seen.y").cast("double").alias("low"),
+        F.array_max("_seen.y").cast("double").alias("high"),
     )
     shown = F.col("n") > 0
     return stats.withColumns(

@@ -6,11 +6,17 @@ whole stream in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinetable.functions.joints import distance, shared_steps
 from kinetable.functions.numeric import clip
+from kinetable.operators.batches import equal_runs
 from kinetable.operators.chunks import frame_spine, with_chunk, with_halo
 from kinetable.operators.people import ROW_SLOTS, checked_slot, with_stats
 from kinetable.operators.windows import frame_windows
@@ -77,19 +83,33 @@ def pressure_spikes(
     key: str = "clip_id",
     frame: str = "frame",
 ) -> DataFrame:
-    """Rise above the median of the current and the ``baseline`` previous frames, at least 0."""
-    halo = with_halo(df, frame, back=baseline)
-    trail = (
-        Window.partitionBy(key, "chunk")
-        .orderBy(F.col(frame).cast("bigint"))
-        .rangeBetween(-int(baseline), 0)
-    )
-    median = F.expr(f"percentile({value}, 0.5D)").over(trail)
-    return (
-        halo.withColumn(out, F.greatest(F.col(value) - median, F.lit(0.0)))
-        .filter("core")
-        .drop("chunk", "core")
-    )
+    """Rise above the median of the current and the ``baseline`` previous frames, at least 0.
+
+    Frames are dense (see ``frame_spine``). Spark deals the chunks out and sorts them; the
+    trailing median is a rolling one, which slides in logarithmic time, whereas a Spark
+    window would rebuild the ordered frame for every row.
+    """
+    back = int(baseline)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, past = None, np.empty(0)
+        for part in batches:
+            values = part[value].to_numpy(dtype=float)
+            names, pieces = part[key].to_numpy(), part["chunk"].to_numpy()
+            rises = np.empty(len(part))
+            for low, high in equal_runs(pieces, names):
+                if (names[low], pieces[low]) != owner:
+                    owner, past = (names[low], pieces[low]), np.empty(0)
+                series = np.concatenate([past, values[low:high]])
+                median = pd.Series(series).rolling(back + 1, min_periods=1).median().to_numpy()
+                rises[low:high] = np.maximum(values[low:high] - median[len(past):], 0.0)
+                past = series[max(0, len(series) - back):]
+            part[out] = rises
+            yield part[part["core"]].drop(columns=["chunk", "core"])
+
+    halo = with_halo(df, frame, back=back)
+    ordered = halo.repartition(key, "chunk").sortWithinPartitions(key, "chunk", frame)
+    return ordered.mapInPandas(scan, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def normalize_signal(

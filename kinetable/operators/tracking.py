@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.functions.joints import total
+from kinetable.functions.joints import array_sum
+from kinetable.operators.batches import equal_runs
 
 SEEN = 0.1  # joint confidence above which a joint counts for the remembered centroid (fixed value)
 
@@ -47,17 +48,20 @@ def top_detections(detections: DataFrame, max_persons: int = 2, key: str = "clip
 
 def detection_centroids(detections: DataFrame, key: str = "clip_id") -> DataFrame:
     """(cx, cy) over all joints for matching, (vx, vy) over confident joints to remember."""
-    joints = F.col("joints")
-    seen = F.filter(joints, lambda j: j.s > SEEN)
-    sure = F.when(F.size(seen) > 0, seen).otherwise(joints)
-    return detections.select(
+    seen = F.filter("joints", lambda j: j.s > SEEN)
+    sure = detections.withColumn("_sure", F.when(F.size(seen) > 0, seen).otherwise(F.col("joints")))
+
+    def mean(points: str, axis: str) -> Column:
+        return array_sum(F.col(f"{points}.{axis}")) / F.size(points)
+
+    return sure.select(
         key,
         "frame",
         "rank",
-        (total(joints, "x") / F.size(joints)).alias("cx"),
-        (total(joints, "y") / F.size(joints)).alias("cy"),
-        (total(sure, "x") / F.size(sure)).alias("vx"),
-        (total(sure, "y") / F.size(sure)).alias("vy"),
+        mean("joints", "x").alias("cx"),
+        mean("joints", "y").alias("cy"),
+        mean("_sure", "x").alias("vx"),
+        mean("_sure", "y").alias("vy"),
     )
 
 
@@ -89,13 +93,6 @@ def advance(points: np.ndarray, remembered: np.ndarray, slots: np.ndarray) -> np
     return given
 
 
-def frame_bounds(frames: np.ndarray, clips: np.ndarray) -> list[tuple[int, int]]:
-    """Row ranges of consecutive equal (clip, frame)."""
-    change = np.flatnonzero((frames[1:] != frames[:-1]) | (clips[1:] != clips[:-1])) + 1
-    edges = [0, *change.tolist(), len(frames)]
-    return list(zip(edges[:-1], edges[1:]))
-
-
 def assign_slots(centroids: DataFrame, max_persons: int = 2, key: str = "clip_id") -> DataFrame:
     """(key, frame, rank, person) for every detection, in frame order per clip."""
 
@@ -108,7 +105,7 @@ def assign_slots(centroids: DataFrame, max_persons: int = 2, key: str = "clip_id
             names = rows[key].to_numpy()
             points, remembered = rows[["cx", "cy"]].to_numpy(), rows[["vx", "vy"]].to_numpy()
             given = np.empty(len(rows), dtype=np.int32)
-            for low, high in frame_bounds(rows["frame"].to_numpy(), names):
+            for low, high in equal_runs(names, rows["frame"].to_numpy()):
                 if names[low] != clip:
                     clip, slots = names[low], np.full((max_persons, 2), np.nan)
                 given[low:high] = advance(points[low:high], remembered[low:high], slots)

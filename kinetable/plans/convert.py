@@ -18,6 +18,7 @@ from kinetable.operators.ingest import (
 from kinetable.operators.labels import attach_depth_labels, event_label_columns
 from kinetable.sources.arrays import read_event_arrays, read_pose_arrays
 from kinetable.sources.depth import read_depth_skeletons
+from kinetable.sources.files import is_file, matches
 from kinetable.sources.keypoints import read_keypoint_json
 from kinetable.sources.tables import clip_key
 
@@ -81,6 +82,20 @@ def convert_arrays(
     return clips, poses.withColumn("dataset", F.lit(dataset))
 
 
+def convert_poses(
+    spark: SparkSession, path: str, dataset: str, max_persons: int = 2, limit: int | None = None, layout: str = "flat"
+) -> tuple[DataFrame, DataFrame]:
+    """Keypoint documents directly in ``path`` (or the one named) if any, else pose arrays below it."""
+    if is_file(spark, path):
+        documents = path if path.endswith(".json") else None
+    else:
+        pattern = f"{path}/*keypoints*.json"
+        documents = pattern if matches(spark, pattern) else None
+    if documents:
+        return convert_keypoints(spark, documents, dataset, max_persons, limit, layout)
+    return convert_arrays(spark, path, dataset, max_persons)
+
+
 def convert_events(spark: SparkSession, path: str, window_ms: float = 33.0) -> DataFrame:
     """Event segments -> sparse rendered pixels with the folder of each segment."""
     events = read_event_arrays(spark, path).withColumn(

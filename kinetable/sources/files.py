@@ -27,6 +27,12 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return system.exists(location) and system.getFileStatus(location).isFile()
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a glob pattern names at least one path."""
+    system, location = _file_system(spark, pattern)
+    return len(system.globStatus(location)) > 0
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as Spark writes it in file-path columns, without a trailing slash."""
     system, location = _file_system(spark, path)

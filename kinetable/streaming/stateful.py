@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinetable.dims import NUM_JOINTS
+from kinetable.operators.batches import equal_runs
 from kinetable.operators.signals import MIN_MOTION_HEIGHT
-from kinetable.operators.tracking import advance, frame_bounds
+from kinetable.operators.tracking import advance
 
 
 def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
@@ -38,7 +39,7 @@ def track_slots(centroids: DataFrame, max_persons: int = 2, key: str = "clip_id"
         points, remembered = rows[["cx", "cy"]].to_numpy(), rows[["vx", "vy"]].to_numpy()
         frames = rows["frame"].to_numpy()
         given = np.empty(len(rows), dtype=np.int32)
-        for low, high in frame_bounds(frames, np.zeros(len(rows))):
+        for low, high in equal_runs(frames):
             given[low:high] = advance(points[low:high], remembered[low:high], slots)
         state.update((slots.ravel().tolist(),))
         yield pd.DataFrame(

@@ -185,6 +185,16 @@ def test_pose_arrays(spark, tmp_path):
         read_pose_arrays(spark, str(tmp_path)).collect()
 
 
+def test_route_choice(spark, tmp_path):
+    np.save(tmp_path / "clip_punching_001.npy", np.ones((1, 1, 51)))
+    assert [r["clip_id"] for r in convert.convert_poses(spark, str(tmp_path), "x")[0].collect()] == ["clip_punching_001"]
+    (tmp_path / "train_keypoints.json").write_text(json.dumps(document()))
+    for path in (tmp_path, tmp_path / "train_keypoints.json"):
+        assert convert.convert_poses(spark, str(path), "x")[0].count() == 2
+    with pytest.raises(FileNotFoundError):
+        convert.convert_poses(spark, str(_empty(tmp_path)), "x")
+
+
 def test_clip_archives_and_tables(spark, tmp_path):
     cache = tmp_path / "cache"
     cache.mkdir()
