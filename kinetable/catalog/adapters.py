@@ -13,7 +13,11 @@ _SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; its schema is read from the files once per session."""
+    """A driver table; its schema is read from the files once per session.
+
+    Its timestamps carry no zone; they are read as UTC.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = f"{sf}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
