@@ -165,14 +165,19 @@ def dense_frames(df: DataFrame, key: str = "clip", frame: str = "frame", out: st
     )
 
 
-def first_clips(df: DataFrame, limit: int | None, source: str = "source", clip_column: str = "clip") -> DataFrame:
+def first_clips(
+    df: DataFrame, limit: int | None, source: str = "source", clip_column: str = "clip", slice_by: str = "image_id"
+) -> DataFrame:
     """Rows of the first ``limit`` clips of each source in name order."""
     if limit is None:
         return df
-    names = df.select(source, clip_column).distinct()
+    counted = df.groupBy(source, clip_column).agg(F.count("*").alias("_rows"))
     order = Window.partitionBy(source).orderBy(clip_column)
-    kept = names.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit).drop("_k")
-    return df.join(kept, [source, clip_column], "left_semi")
+    kept = counted.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit)
+    own = F.concat_ws("\u0001", source, clip_column)
+    return attach_by_key(
+        df.withColumn("_own", own), kept.select(own.alias("_own"), "_rows", "_k"), "_own", "_rows", [slice_by]
+    ).drop("_own", "_k")
 
 
 def group_annotations(
