@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import chat, mixing, sharding
-from kinetable.llm.common import id_crc, table
+from kinetable.llm import chat, mixing, packing, sharding, simhash
+from kinetable.llm.common import id_crc, store, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +130,20 @@ def op7_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("_loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with fingerprint and component."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = store(simhash.with_fingerprint(docs, name="fp").select("doc_id", "fp"), "prints")
+    return simhash.near_classes(prints).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query()
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 4096 ids, each with its place in a sequence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(store(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
