@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import chat, mixing, packing, sharding, simhash
+from kinetable.llm import chat, langid, mixing, packing, sharding, simhash
 from kinetable.llm.common import id_crc, store, table
 
 QUERIES: dict = {}
@@ -147,3 +147,17 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 ids, each with its place in a sequence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(store(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
+
+
+@query()
+def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(id_crc() % 4 == 2, F.lit(False)))
+    calibrates = langid.for_calibration(id_crc())
+    model = langid.train(docs.where(~F.col("held_out") & ~calibrates))
+    known = F.when(~F.col("held_out") & calibrates, F.col("lang")).alias("lang")
+    rows = docs.select("doc_id", "held_out", known, langid.measured(spark, F.col("text"), model).alias("m"))
+    rows = store(rows, "measured")
+    calibration = langid.calibrate(rows, model)
+    return langid.identified(rows, model, calibration).select("doc_id", "held_out", "lang_pred", "score", "accepted")
