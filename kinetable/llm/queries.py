@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import chat, langid, mixing, packing, sharding, simhash
+from kinetable.llm import chat, langid, mixing, packing, quality, sharding, simhash
 from kinetable.llm.common import id_crc, store, table
 
 QUERIES: dict = {}
@@ -161,3 +161,16 @@ def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(rows, "measured")
     calibration = langid.calibrate(rows, model)
     return langid.identified(rows, model, calibration).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query()
+def op5_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their quality score, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_crc() % 5 == 0, F.lit(False))
+    stats = quality.document_statistics(spark, F.col("text"))
+    rows = store(docs.select("doc_id", held_out.alias("held_out"), stats.alias("stats")), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(rows.where(~F.col("held_out")), labels)
+    scored = rows.select("doc_id", "held_out", quality.score(spark, F.col("stats"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.KEEP).cast("int"))
