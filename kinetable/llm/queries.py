@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import chat, langid, mixing, packing, quality, sharding, simhash
+from kinetable.llm import ann, chat, langid, mixing, packing, quality, sharding, simhash
 from kinetable.llm.common import id_crc, store, table
 
 QUERIES: dict = {}
@@ -174,3 +174,10 @@ def op5_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(rows.where(~F.col("held_out")), labels)
     scored = rows.select("doc_id", "held_out", quality.score(spark, F.col("stats"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.KEEP).cast("int"))
+
+
+@query()
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0)
