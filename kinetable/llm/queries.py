@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import ann, bm25, chat, langid, mixing, packing, quality, sharding, simhash
+from kinetable.llm import ann, bm25, chat, langid, mixing, packing, quality, sharding, simhash, token_counts
 from kinetable.llm.common import id_crc, store, table
 
 QUERIES: dict = {}
@@ -214,3 +214,17 @@ def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = bm25.top_k(built, items)
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+#: What the query's edits take out: addresses, links and long numbers.
+PERSONAL = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://[^\s)>\]]+|\+?\d[\d .-]{5,}\d"
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents before and after addresses, links and long numbers are masked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = token_counts.matches(F.col("text"), PERSONAL, "[masked]")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counts = token_counts.recounted(spark, F.col("text"), F.col("edits"), vocabulary, public_tokenizers.PATTERN)
+    return docs.withColumn("edits", edits).select("doc_id", counts.alias("c")).select("doc_id", "c.*")
