@@ -197,12 +197,12 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Among repeated rows of that id one stays; a row without a doc_id stays only if its class
     has no other. The columns are those of ``docs``.
     """
-    rows = with_fingerprint(docs, name="_fp").withColumn("_row", F.monotonically_increasing_id())
-    rows = store(rows, "fingerprinted")
-    prints = rows.select("_row", "doc_id", F.col("_fp").alias("fp"))
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", _fingerprints(F.col("text")).alias("fp"))
+    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    prints = rows.select("_row", "doc_id", "fp")
     roots = near_duplicates(prints, radius)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
     classes = prints.groupBy("fp").agg(first.alias("_first"))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     kept = rooted.groupBy(F.coalesce("root", "fp")).agg(F.min("_first")["_row"].alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
