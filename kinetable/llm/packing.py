@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,37 +20,124 @@ from kinetable.llm.common import numbered, store
 CAPACITY, END_ID = 4096, 1
 #: Rounds of the weights, and the part of its rarest length that a round's pattern may take.
 ROUNDS, STEP = 200, 0.25
-#: Words whose ids a task remembers.
-REMEMBERED = 300_000
+#: Documents whose ids are laid out at a time.
+LOT = 500
+#: ASCII marks that are neither letters, digits nor white space.
+MARKS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
+#: Letters up to U+024F with one lower-case form, no combining marks.
+LATIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable ones stay themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that ``index`` names, one after the other."""
+    n = sizes[index]
+    before = np.cumsum(n) - n
+    return flat[np.arange(int(n.sum())) + np.repeat(starts[index] - before, n)]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 class WordIds:
-    """Ids of whole texts as little-endian 32-bit bytes, by a tokenizer that drops white space.
+    """Ids of whole texts by a tokenizer that lower-cases and drops white space.
 
-    Its tokens never reach over white space, so each word is encoded once and looked up after.
+    Its tokens never reach over white space, so each distinct word of a batch is encoded once.
     Words are cut at ASCII white space only; any other stays inside for the tokenizer to see.
+    A word of Latin letters between marks falls into those three parts for the tokenizer too:
+    its letters go straight to the vocabulary, many at a time, each ending in a word-end token.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            words = [t.encode("utf-8", "replace").split() for t in texts[at : at + 500]]
-            self.learn(words)
-            for w in words:
-                yield b"".join(map(self.known.__getitem__, w))
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        suffix = model["end_of_word_suffix"]
+        self.letters = Tokenizer(
+            models.BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=suffix)
+        )
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        self.bytes_as = _byte_letters()
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of each text."""
+        ids = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int64), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def spelled(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of lower-case Latin letters alone."""
+        cores = [c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes_as) for c in cores]
+        lines = [" ".join(cores[at : at + 1000]) for at in range(0, len(cores), 1000)]
+        encoded = self.letters.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.int64), *(np.array(e.ids, np.int64) for e in encoded)])
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(cores):
+            raise ValueError("a word does not end in one word-end token")
+        return ids, sizes
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct words."""
+        inner = pc.utf8_ltrim(words, MARKS)
+        core = pc.utf8_rtrim(inner, MARKS)
+        width = [pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, inner, core)]
+        head, tail = width[0] - width[1], width[1] - width[2]
+        latin = pc.match_substring_regex(core, LATIN).to_numpy(zero_copy_only=False)
+        # An apostrophe before letters may be the start of a contraction.
+        latin &= ~pc.match_substring_regex(words, f"^[{re.escape(MARKS)}]*'[A-Za-z]").to_numpy(zero_copy_only=False)
+        lowered = pc.dictionary_encode(pc.utf8_lower(core.filter(pa.array(latin))))
+        spelled = self.spelled(lowered.dictionary.to_pylist())
+        # Units: the empty one, spelled cores, marks, and words that only the tokenizer can take apart.
+        marked = np.flatnonzero(latin & ((head > 0) | (tail > 0)))
+        sides: dict[str, int] = {}
+        ends = np.zeros((len(words), 2), np.int64)
+        for at, word, h, t in zip(marked, words.take(pa.array(marked)).to_pylist(), head[marked], tail[marked], strict=True):
+            if h:
+                ends[at, 0] = sides.setdefault(word[:h], len(sides) + 1)
+            if t:
+                ends[at, 1] = sides.setdefault(word[-t:], len(sides) + 1)
+        others = words.filter(pa.array(~latin)).to_pylist()
+        rest = self.whole([*sides, *others])
+        ids = np.concatenate([spelled[0], rest[0]])
+        sizes = np.concatenate([[0], spelled[1], rest[1]])
+        known = len(spelled[1])
+        units = np.zeros((len(words), 3), np.int64)
+        units[:, 0::2] = np.where(ends > 0, ends + known, 0)
+        units[latin, 1] = lowered.indices.to_numpy(zero_copy_only=False) + 1
+        units[~latin, 1] = known + len(sides) + 1 + np.arange(len(others))
+        return gathered(ids, _starts(sizes), sizes, units.ravel()), sizes[units].sum(axis=1)
+
+    def __call__(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """Ids of each text; a null has none."""
+        texts = pc.fill_null(texts, "")
+        # A special token's name, or a mark that may join the letter before it, needs the tokenizer.
+        odd = pc.match_substring_regex(texts, r"<\||[\x{300}-\x{36f}]").to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)))
+        offsets = lists.offsets.to_numpy()
+        coded = pc.dictionary_encode(lists.values)
+        ids, sizes = self.words(coded.dictionary)
+        starts, index = _starts(sizes), coded.indices.to_numpy(zero_copy_only=False)
+        for at in range(0, len(texts), LOT):
+            last = min(at + LOT, len(texts))
+            part = index[offsets[at] : offsets[last]]
+            flat = gathered(ids, starts, sizes, part)
+            ends = np.concatenate([[0], np.cumsum(sizes[part])])[offsets[at : last + 1] - offsets[at]]
+            for k in range(at, last):
+                if odd[k]:
+                    yield self.whole([texts[k].as_py()])[0]
+                else:
+                    yield flat[ends[k - at] : ends[k - at + 1]]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
@@ -56,21 +147,22 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     documents of more ids than ``capacity`` are cut, each piece but the last to that length.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(tokenizer_file)
-        end = np.array([END_ID], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch["text"]]
-            for doc, ids in zip(batch["doc_id"].array, ids_of(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
+                data = np.append(ids, END_ID).astype("<u4").tobytes()
+                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def _price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
