@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from kinetable.llm.common import numbered, store
 
 CAPACITY, END_ID = 4096, 1
-#: Rounds of the weights, and the part of its rarest length that a round's pattern may take.
-ROUNDS, STEP = 200, 0.25
+#: Rounds of the weights, and how fast a price falls with what its length got too much.
+ROUNDS, STEP = 100, 0.1
 #: Documents whose ids are laid out at a time.
 LOT = 500
+#: Documents whose words are looked up together.
+BATCH = 5000
 #: ASCII marks that are neither letters, digits nor white space.
 MARKS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
 #: Letters up to U+024F with one lower-case form, no combining marks.
@@ -151,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
         ids_of = WordIds(tokenizer_file)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
                 data = np.append(ids, END_ID).astype("<u4").tobytes()
@@ -165,49 +167,57 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def _price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of the lengths in the most valuable pattern: an unbounded knapsack over capacities."""
+def _price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the best value of every room up to the capacity, and the length that
+    its pattern takes first (-1: leave one place empty)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(int(lengths[0]), capacity + 1):
         k = upto[c]
         gain = best[c - lengths[:k]] + values[:k]
-        i = int(gain.argmax())
+        i = k - 1 - int(gain[::-1].argmax())  # of equal gains the longest
         if gain[i] > best[c - 1] + 1e-12:
             best[c], choice[c] = gain[i], i
         else:
             best[c] = best[c - 1]
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
+    return best, choice
+
+
+def _pattern(first: int, lengths: np.ndarray, choice: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
+    """The best sequence that holds a given length, as (length's index, times)."""
+    counts, room = {first: 1}, capacity - int(lengths[first])
+    while room > 0:
+        i = int(choice[room])
+        if i < 0:
+            room -= 1
         else:
-            counts[choice[c]] += 1
-            c -= lengths[choice[c]]
-    return counts
+            counts[i] = counts.get(i, 0) + 1
+            room -= int(lengths[i])
+    return tuple(sorted(counts.items()))
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[float, np.ndarray]]:
-    """Patterns with how often to use each, from the configuration program.
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, float]:
+    """Patterns with how often to use each: the configuration program by multiplicative weights.
 
-    A length's price starts as its size, at which any full sequence is optimal, and shrinks by
-    the part of its demand that each chosen pattern covers; a covered length leaves the program.
+    Every round prices the lengths, takes for each length that is still short the most valuable
+    sequence holding it, and covers the whole demand. A length that got more than its demand
+    becomes cheaper by a factor, so later rounds fill up with others; the mean of all rounds covers
+    the demand. A price starts at the size, at which any full sequence is optimal.
     """
-    price, left = lengths.astype(float), counts.astype(float)
-    plan = []
+    price, used = lengths / capacity, {}
     for _ in range(ROUNDS):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        pattern = np.zeros(len(lengths), np.int64)
-        pattern[open_] = _price(lengths[open_], price[open_], capacity)
-        used = np.flatnonzero(pattern)
-        times = STEP * (counts[used] / pattern[used]).min()
-        times = min(max(times, 1.0), (left[used] / pattern[used]).min())
-        plan.append((times, pattern))
-        left[used] -= times * pattern[used]
-        price[used] *= np.exp(-STEP * np.minimum(1.0, times * pattern[used] / counts[used]))
-    return plan
+        _, choice = _price(lengths, price, capacity)
+        left = counts.astype(float)
+        for i in range(len(lengths) - 1, -1, -1):
+            if left[i] <= 0:
+                continue
+            pattern = _pattern(i, lengths, choice, capacity)
+            times = left[i] / dict(pattern)[i]
+            used[pattern] = used.get(pattern, 0.0) + times / ROUNDS
+            for k, n in pattern:
+                left[k] -= times * n
+        price = price * np.exp(-STEP * np.minimum(-left / counts, 4.0))
+    return used
 
 
 class Plan(NamedTuple):
@@ -237,12 +247,13 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> P
     order = np.argsort(lengths)
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     left, runs = counts.copy(), []
-    for times, pattern in fractional(lengths, counts, capacity) if len(lengths) else []:
-        used = np.flatnonzero(pattern)
-        whole = min(int(times + 1e-9), int((left[used] // pattern[used]).min()))
+    program = fractional(lengths, counts, capacity) if len(lengths) else {}
+    for pattern, times in sorted(program.items(), key=lambda x: (-x[1], x[0])):
+        used, each = np.array(pattern).T
+        whole = min(int(times + 1e-9), int((left[used] // each).min()))
         if whole:
-            runs.append((whole, used, pattern[used]))
-            left[used] -= whole * pattern[used]
+            runs.append((whole, used, each))
+            left[used] -= whole * each
     while left.any():
         gap, used, each = capacity, [], []
         there = np.flatnonzero(left)
