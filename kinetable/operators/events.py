@@ -22,15 +22,21 @@ FIELD_ALIASES = [
 ]
 
 
+def field_names(columns: list[str], where: str = "") -> dict[str, str]:
+    """The column that holds each event field: the first accepted name that is there."""
+    found = {}
+    for field, names in FIELD_ALIASES:
+        there = [n for n in (*names, field) if n in columns]
+        if not there:
+            raise ValueError(f"{where}no {names[0]!r} column among {list(columns)}")
+        found[field] = there[0]
+    return found
+
+
 def resolve_fields(df: DataFrame, key: str = "segment") -> DataFrame:
     """Tabular events with any accepted column names -> (key, t_us, x, y, p)."""
-    picked = []
-    for field, names in FIELD_ALIASES:
-        match = next((n for n in [*names, field] if n in df.columns), None)
-        if match is None:
-            raise ValueError(f"no {names[0]!r} column among {df.columns}")
-        picked.append(F.col(match).cast("double").alias(field))
-    return df.select(key, *picked)
+    picked = field_names(df.columns)
+    return df.select(key, *[F.col(name).cast("double").alias(field) for field, name in picked.items()])
 
 
 def to_sensor(df: DataFrame, height: int = SENSOR_HEIGHT, width: int = SENSOR_WIDTH) -> DataFrame:

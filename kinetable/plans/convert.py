@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.dims import COLOR_FRAME
-from kinetable.functions.text import stem
+from kinetable.operators.chunks import attach_by_key
 from kinetable.operators.events import accumulate, render
 from kinetable.operators.ingest import (
     bodies_to_poses,
@@ -16,9 +16,10 @@ from kinetable.operators.ingest import (
     visible_joints,
 )
 from kinetable.operators.labels import attach_depth_labels, event_label_columns
-from kinetable.sources.arrays import read_event_arrays, read_pose_arrays
+from kinetable.session import materialize
+from kinetable.sources.arrays import pose_rows, read_event_arrays
 from kinetable.sources.depth import read_depth_skeletons
-from kinetable.sources.files import is_file, matches
+from kinetable.sources.files import is_file, matches, relative_id
 from kinetable.sources.keypoints import read_keypoint_json
 from kinetable.sources.tables import clip_key
 
@@ -57,6 +58,10 @@ def convert_keypoints(
     people = group_annotations(images, annotations, max_persons, limit).withColumn(
         "clip_id", clip_key("clip")
     )
+    people = materialize(people, "keypoint-people")
+    # A clip that several documents name is that of the last one by path.
+    last = people.groupBy("clip_id").agg(F.max("source").alias("_last"), F.count("*").alias("_rows"))
+    people = attach_by_key(people, last, "clip_id", "_rows", ["frame"]).where(F.col("source") == F.col("_last")).drop("_last")
     counted = people.groupBy("clip_id", F.col("clip").alias("source")).agg(
         (F.max("frame") + 1).alias("num_frames")
     )
@@ -69,14 +74,15 @@ def convert_arrays(
     spark: SparkSession, path: str, dataset: str, max_persons: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """Per-clip keypoint arrays -> (clips, poses); the first ``max_persons`` slots are kept."""
-    rows = read_pose_arrays(spark, path).withColumn("clip_id", stem(F.col("path")))
+    rows = pose_rows(spark, path).withColumn("clip_id", relative_id(spark, path, F.col("path")))
+    rows = materialize(rows, "pose-arrays")
     counted = rows.groupBy("clip_id", F.col("path").alias("source")).agg(
         F.max("num_frames").alias("num_frames")
     )
     clips = event_label_columns(counted, "source").withColumn("dataset", F.lit(dataset))
     joints = visible_joints(first_joints(F.col("keypoints")))
     poses = densify(
-        rows.filter(F.col("person") < max_persons).select("clip_id", "frame", "person", joints.alias("joints")),
+        rows.filter(F.col("frame").isNotNull() & (F.col("person") < max_persons)).select("clip_id", "frame", "person", joints.alias("joints")),
         clips, max_persons,
     )
     return clips, poses.withColumn("dataset", F.lit(dataset))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+#: The temporary root of a local session, removed when the process ends.
+_LOCAL_ROOTS: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``, or set on the context.
+
+    Where neither is set, a local session gets a temporary folder; a cluster raises an error,
+    because its executors would each write to their own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -35,14 +44,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    local = tempfile.mkdtemp(prefix="kinetable-")
-    context.setCheckpointDir(local)
-    return local
+    if not re.match(r"local(\[.*\])?$", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = _LOCAL_ROOTS.setdefault(context.applicationId, tempfile.TemporaryDirectory(prefix="kinetable-"))
+    context.setCheckpointDir(root.name)
+    return root.name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/kinetable/{label}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/kinetable/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application stored in the shared folder; results read from it end too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:

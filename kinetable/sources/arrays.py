@@ -17,29 +17,27 @@ from pyspark.sql import functions as F
 
 from kinetable.dims import NUM_JOINTS
 from kinetable.functions.text import parent, stem
-from kinetable.operators.events import FIELD_ALIASES
+from kinetable.operators.events import FIELD_ALIASES, field_names
 from kinetable.schemas import ARRAY_POSES, CLIPS, POSES
-from kinetable.sources.files import path_exists, qualified, read_binary, short_path
+from kinetable.sources.files import path_exists, qualified, read_binary, relative_id, short_path
 
 BATCH_EVENTS = 200_000
 BATCH_FRAMES = 2_000
 
 
-def event_matrix(content: bytes, path: str) -> np.ndarray:
-    """(N, 4) float64 events [t, x, y, p] of one file."""
+def event_table(content: bytes, path: str) -> pd.DataFrame:
+    """Columns t_us, x, y, p of one file.
+
+    A plain array has them by place; a structured one has its fields as columns, which
+    ``field_names`` chooses like those of any other table.
+    """
     raw = np.load(io.BytesIO(content), allow_pickle=False)
-    names = raw.dtype.names
-    if names is None:
-        if raw.ndim != 2 or raw.shape[1] != len(FIELD_ALIASES):
-            raise ValueError(f"{path}: events need shape (N, 4), found {raw.shape}")
-        return raw.astype(np.float64)
-    chosen = []
-    for _, accepted in FIELD_ALIASES:
-        present = [n for n in accepted if n in names]
-        if not present:
-            raise ValueError(f"{path}: no {accepted[0]!r} field among {names}")
-        chosen.append(raw[present[0]].astype(np.float64))
-    return np.column_stack(chosen)
+    if raw.dtype.names:
+        named = field_names(list(raw.dtype.names), f"{path}: ")
+        return pd.DataFrame({field: raw[name].astype(float) for field, name in named.items()})
+    if raw.ndim == 2 and raw.shape[1] == len(FIELD_ALIASES):
+        return pd.DataFrame(raw.astype(float), columns=[out for out, _ in FIELD_ALIASES])
+    raise ValueError(f"{path}: an event array has four columns, this one has the shape {raw.shape}")
 
 
 def read_event_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -52,11 +50,9 @@ def read_event_arrays(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                events = event_matrix(content, name)
+                events = event_table(content, name)
                 for at in range(0, len(events), BATCH_EVENTS):
-                    part = pd.DataFrame(events[at : at + BATCH_EVENTS], columns=["t_us", "x", "y", "p"])
-                    part.insert(0, "path", name)
-                    yield part
+                    yield events.iloc[at : at + BATCH_EVENTS].assign(path=name)[["path", "t_us", "x", "y", "p"]]
 
     rows = read_binary(spark, path, "*.npy").mapInPandas(
         decode, "path string, t_us double, x double, y double, p double"
@@ -95,12 +91,20 @@ def _dense_rows(values: np.ndarray, frames: np.ndarray) -> pd.DataFrame:
 
 def read_pose_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataFrame:
     """Per-clip keypoint arrays -> (path, num_frames, frame, person, keypoints)."""
+    return pose_rows(spark, path, glob).where(F.col("frame").isNotNull())
+
+
+def pose_rows(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataFrame:
+    """The rows of ``read_pose_arrays`` after one row per file without a frame, so that clips
+    without frames or people keep their length."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 values = pose_array(content, name)
-                for at in range(0, len(values), BATCH_FRAMES):
+                head = {"path": name, "num_frames": np.int32(len(values)), "frame": None, "person": None, "keypoints": None}
+                yield pd.DataFrame([head]).astype({"frame": "Int32", "person": "Int32"})
+                for at in range(0, len(values) if values.shape[1] else 0, BATCH_FRAMES):
                     block = values[at : at + BATCH_FRAMES]
                     part = _dense_rows(block, np.arange(at, at + len(block)))
                     part.insert(0, "path", name)
@@ -153,13 +157,13 @@ def read_clip_archives(spark: SparkSession, path: str, dataset: str) -> tuple[Da
         " aggressive boolean, frame_w int, frame_h int",
     )
     clips = meta.select(
-        F.lit(dataset).alias("dataset"), stem(F.col("path")).alias("clip_id"),
+        F.lit(dataset).alias("dataset"), relative_id(spark, path, F.col("path")).alias("clip_id"),
         *[f.name for f in CLIPS.fields[2:]],
     )
     rows = files.mapInPandas(decode, "path string, frame int, person int, keypoints array<double>")
     poses = rows.select(
         F.lit(dataset).alias("dataset"),
-        stem(F.col("path")).alias("clip_id"),
+        relative_id(spark, path, F.col("path")).alias("clip_id"),
         "frame",
         "person",
         F.expr(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from kinetable.dims import NUM_DEPTH_JOINTS, depth_action_ids
 from kinetable.functions.text import stem
+from kinetable.session import materialize
+from kinetable.sources.files import relative_id
 
 BODY_FIELDS = 9  # body-level tokens after the id (fixed value)
 JOINT_FIELDS = 12  # numbers per joint line (fixed value)
@@ -79,10 +81,10 @@ def read_depth_skeletons(
     rows = files.mapInPandas(
         decode,
         "num_frames int, frame int, pos int, body_id string, values array<double>, path string",
-    ).withColumn("clip_id", stem(F.col("path")))
-    clips = parse_clip_name(
-        rows.filter(F.col("frame") < 0).select("path", "clip_id", "num_frames"), "clip_id"
-    )
+    ).withColumn("clip_id", relative_id(spark, path, F.col("path"), encoded=True))
+    rows = materialize(rows, "depth-rows")
+    heads = rows.filter(F.col("frame") < 0).select("path", "clip_id", "num_frames", stem(F.col("path")).alias("_name"))
+    clips = parse_clip_name(heads, "_name").drop("_name")
     fields = ["x", "y", "z", "depth_x", "depth_y", "color_x", "color_y",
               "orient_w", "orient_x", "orient_y", "orient_z", "state"]
     picked = ", ".join(f"values[12*j+{i}] AS {f}" for i, f in enumerate(fields))

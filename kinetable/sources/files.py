@@ -45,6 +45,22 @@ def short_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def relative_id(spark: SparkSession, path: str, files: Column, encoded: bool = False) -> Column:
+    """Clip id of a file: its path below ``path`` without suffix, slashes as double underscores.
+
+    Equal names in two folders stay apart. ``encoded`` says that the column holds URIs, as
+    ``_metadata.file_path`` does.
+    """
+    root = qualified(spark, path)
+    if encoded:
+        system, location = _file_system(spark, path)
+        uri = system.getFileStatus(location).getPath().toUri().toASCIIString()
+        root = re.sub("^file:/+", "file:/", uri.rstrip("/"))
+    inside = F.regexp_replace(short_path(files), "^" + re.escape(root) + "/?", "")
+    named = F.when(inside == "", F.regexp_extract(files, "([^/]*)$", 1)).otherwise(inside)
+    return F.replace(F.regexp_replace(named, r"(?<=[^/])\.[^./]*$", ""), F.lit("/"), F.lit("__"))
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Files below ``path`` with their suffix; contents are not read."""
     return (

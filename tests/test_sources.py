@@ -39,7 +39,7 @@ def test_depth_files(spark, tmp_path):
     write_skeleton(sub, "S001C001P001R001A001", [[("9", 0.0, 1.0, 2.0, 1.0, 2.0)]])
     clips, poses = convert.convert_depth(spark, str(tmp_path), "depth")
     found = {r["clip_id"]: r for r in clips.collect()}
-    assert set(found) == {"S001C002P003R002A050", "S001C001P001R001A053"}
+    assert set(found) == {"S001C002P003R002A050", "deep__S001C001P001R001A053"}
     hit = found["S001C002P003R002A050"]
     assert (hit["num_frames"], hit["action"], hit["label"], hit["label_name"], hit["aggressive"]) == (4, 50, 0, "punch_slap", True)
     assert (hit["frame_w"], hit["frame_h"]) == (1920, 1080)
@@ -124,23 +124,69 @@ def test_flat_layout_is_splittable_and_ordered(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
     try:
         _, notes = read_keypoint_json(spark, str(path))
-        assert notes.rdd.getNumPartitions() > 4
+        assert notes.select("pos.block").distinct().count() > 4
         got = [(r["image_id"], r["score"]) for r in notes.orderBy("pos").select("image_id", "score").collect()]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [(n["image_id"], n["score"]) for n in doc["annotations"]]
 
 
-def test_flat_layout_rejects_nested_objects(spark, tmp_path):
-    doc = document()
-    for note in doc["annotations"]:
-        note["segmentation"] = {"counts": [1], "size": [2]}
-        note["keypoints"] = note.pop("keypoints")
-    path = tmp_path / "nested_keypoints.json"
-    path.write_text(json.dumps(doc))
-    with pytest.raises(Exception, match="nested objects"):
-        read_keypoint_json(spark, str(path))[1].collect()
-    assert read_keypoint_json(spark, str(path), "document")[1].count() == 8
+def test_flat_layout_equals_document_layout(spark, tmp_path):
+    """Nested objects before and after the marks, braces and quotes in names, other arrays and objects."""
+    names = ["a/%d.png", "br{ace}/%d}.png", 'q"uo\\te/{%d.png', "é/%d"]
+    for n, (indent, tail) in enumerate([(None, ""), (1, "\n"), (None, "  ")]):
+        images = [{"id": i, "file_name": names[i % 4] % i, **({"meta": {"x": {"y": [{"z": '}{\\"'}]}}} if i % 3 == 0 else {})} for i in range(20)]
+        notes = []
+        for i in range(40):
+            note = {"image_id": i % 20, "keypoints": [float(i + k) for k in range(6)]}
+            if i % 4 == 1:
+                note = {"seg": {"c": [1, {"file_name": "no"}]}, **note}
+            if i % 4 == 2:
+                note = {**note, "seg": {"c": "}}{"}, "score": 0.5}
+            if i % 4 == 3:
+                note["score"] = None
+            notes.append(note)
+        doc = {"info": {"v": "1 {", "n": {}}, "licenses": [{"id": 1, "file_name": "x"}], "images": images, "n": 5,
+               "annotations": notes, "categories": [{"id": 1, "image_id": 3}], "empty": []}
+        (tmp_path / f"{n}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=n > 0) + tail)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for flat, whole in zip(read_keypoint_json(spark, str(tmp_path)), read_keypoint_json(spark, str(tmp_path), "document")):
+            columns = [c for c in flat.columns if c != "pos"]
+            ours, theirs = ([str(r) for r in df.orderBy("source", "pos").select(columns).collect()] for df in (flat, whole))
+            assert ours == theirs and len(ours) in (60, 120)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text", ['{"images":[{"id":1,"file_name":"x"}', '{"images":[{"id":1,"file_name":oops}]}'])
+def test_flat_layout_raises_on_what_it_cannot_cut(spark, tmp_path, text):
+    (tmp_path / "broken.json").write_text(text)
+    with pytest.raises(Exception, match="braces do not close|cannot read an object"):
+        read_keypoint_json(spark, str(tmp_path))[0].collect()
+
+
+def test_equal_names_in_two_folders_and_empty_clips(spark, tmp_path):
+    for folder, frames in (("a", 2), ("b", 3)):
+        (tmp_path / folder).mkdir()
+        np.save(tmp_path / folder / "clip.npy", np.ones((frames, 1, 51)))
+    np.save(tmp_path / "none.npy", np.zeros((0, 2, 51)))
+    np.save(tmp_path / "alone.npy", np.zeros((4, 0, 51)))
+    clips, poses = convert.convert_arrays(spark, str(tmp_path), "d")
+    assert {(r["clip_id"], r["num_frames"]) for r in clips.collect()} == {("a__clip", 2), ("b__clip", 3), ("none", 0), ("alone", 4)}
+    keys = [(r["clip_id"], r["frame"], r["person"]) for r in poses.collect()]
+    assert len(keys) == len(set(keys)) == 2 * (2 + 3 + 4)
+
+
+def test_a_clip_of_two_documents_is_that_of_the_last(spark, tmp_path):
+    for n, x in ((1, 3.0), (2, 7.0)):
+        doc = {"images": [{"id": 1, "file_name": "walking/s/c/0.png"}],
+               "annotations": [{"image_id": 1, "keypoints": [x, 1.0, 2.0] * 17, "score": 0.9}]}
+        (tmp_path / f"{n}_keypoints.json").write_text(json.dumps(doc))
+    clips, poses = convert.convert_keypoints(spark, str(tmp_path), "d")
+    assert clips.count() == 1
+    got = {(r["frame"], r["person"]): r["joints"][0]["x"] for r in poses.collect()}
+    assert got == {(0, 0): 7.0, (0, 1): 0.0}
 
 
 def test_event_arrays(spark, tmp_path):
