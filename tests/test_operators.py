@@ -24,11 +24,11 @@ from kinetable.operators import (
 from tests.helpers import (
     clips_frame,
     np_average,
-    np_incidents,
-    np_motion,
-    np_pairs,
-    np_pressure,
-    np_spikes,
+    sql_incidents,
+    sql_motion,
+    sql_pairs,
+    sql_pressure,
+    sql_spikes,
     np_starts,
     poses_frame,
     random_scene,
@@ -210,7 +210,7 @@ def test_crowd_pressure(spark, tiny_chunks, scenes, scene_tables, slots, monkeyp
     poses, clips = scene_tables
     rows = people.crowd_pressure(people.person_stats(poses), clips, max_persons=slots).collect()
     got = {(r["clip_id"], r["frame"]): r["pressure"] for r in rows}
-    want = {(c, t): v for c, s in scenes.items() for t, v in enumerate(np_pressure(*s))}
+    want = {(c, t): v for c, s in scenes.items() for t, v in enumerate(sql_pressure(*s))}
     assert got.keys() == want.keys()
     close([got[k] for k in want], list(want.values()))
 
@@ -235,7 +235,7 @@ def test_candidate_pairs(spark, tiny_chunks, scenes, scene_tables, gate, limit,
     want = {}
     for clip, (points, scores) in scenes.items():
         for s in np_starts(len(points), 8, 4):
-            pairs = np_pairs(points[s : s + 8], scores[s : s + 8], limit=limit, gate=gate)
+            pairs = sql_pairs(points[s : s + 8], scores[s : s + 8], limit=limit, gate=gate)
             if pairs:
                 want[clip, s] = pairs
     assert got == want
@@ -276,7 +276,7 @@ def test_smoothing_and_spikes(spark, tiny_chunks, values, width, back):
     values = [v / 100 for v in values]
     df = series_frame(spark, {"a": values, "b": values[::-1]})
     close(by_clip(signals.moving_average(df, "score", width), "smooth")["a"], np_average(values, width))
-    close(by_clip(signals.pressure_spikes(df, "score", back), "spike")["b"], np_spikes(values[::-1], back))
+    close(by_clip(signals.pressure_spikes(df, "score", back), "spike")["b"], sql_spikes(values[::-1], back))
 
 
 def test_normalize_signal(spark, tiny_chunks):
@@ -301,7 +301,7 @@ def test_motion(spark, tiny_chunks, scenes, scene_tables):
     rows = signals.person_motion(poses)
     got = {(r["clip_id"], r["frame"], r["person"]): r["motion"] for r in rows.collect()}
     for clip, scene in scenes.items():
-        want = np_motion(*scene)
+        want = sql_motion(*scene)
         close([got.get((clip, *at), 0.0) for at in np.ndindex(want.shape)], want.ravel())
         energy = by_clip(signals.motion_energy(rows, clips), "energy")[clip]
         close(energy, want.max(axis=1))
@@ -326,7 +326,7 @@ def test_activity_pairs(spark, tiny_chunks, scenes, scene_tables, slots):
         signals.activity_pairs(rows.filter("n > 0"), rows, clips, 5, max_persons=slots), "pair"
     )
     for clip, (points, scores) in scenes.items():
-        motion = np_motion(points, scores)
+        motion = sql_motion(points, scores)
         smooth = np.stack([np_average(motion[:, m], 5) for m in range(motion.shape[1])], axis=1)
         for t in range(len(points)):
             lead = max(range(motion.shape[1]), key=lambda m: (smooth[t, m], m))
@@ -352,7 +352,7 @@ def test_incidents(spark, tiny_chunks, values, shape):
     df = series_frame(spark, {"hot": [v / 10 for v in values], "b": [0.9, float("nan"), 0.1]})
     found = incidents.find_incidents(df, window, 0.5, gap, start="frame")
     got = sorted((r["start"], r["end"], r["peak"]) for r in found.collect() if r["clip_id"] == "hot")
-    assert got == np_incidents([v / 10 for v in values], range(len(values)), window, 0.5, gap)
+    assert got == sql_incidents([v / 10 for v in values], range(len(values)), window, 0.5, gap)
 
 
 def test_incidents_on_sparse_starts(spark):
