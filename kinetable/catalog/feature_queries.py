@@ -122,7 +122,7 @@ def channel_standardise(spark, sf):
 # pooled features of a clip cut to 8 frames: mean and deviation per channel over (t, joint, person)
 POOLED = """
 padded AS (
-  SELECT c.clip_id, n.person, n.j, n.x, n.y, n.s FROM clips c, range(8) r(t)
+  SELECT c.clip_id, n.person, n.j, n.x, n.y, n.s FROM clips c, range(12) r(t)
   JOIN nj n ON n.clip_id = c.clip_id AND n.frame = least(r.t, c.num_frames - 1)),
 pooled AS (
   SELECT clip_id, avg(x) AS f0, stddev_pop(x) AS f1, avg(y) AS f2, stddev_pop(y) AS f3, avg(s) AS f4, stddev_pop(s) AS f5
@@ -136,7 +136,7 @@ pooled AS (
 )
 def clip_features(spark, sf):
     found = features.clip_features(
-        vector_poses(spark, sf), vector_clips(spark, sf), target=8, max_persons=4, level="pooled"
+        vector_poses(spark, sf), vector_clips(spark, sf), target=12, max_persons=4, level="pooled"
     )
     return found.select("clip_id", *[F.round(F.col("features")[i], 6).alias(f"f{i}") for i in range(6)])
 
@@ -281,13 +281,16 @@ def accuracy_by_group(spark, sf):
 
 @query(
     "log_loss",
-    """WITH e AS (SELECT vec_id, label % 2 AS y, 1/(1+exp(-cast(embedding[1] AS double))) AS p FROM embeddings)
-       SELECT y AS label, round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1-p END)), 6) AS loss,
+    """WITH e AS (SELECT vec_id, label % 2 AS y, CASE WHEN vec_id % 50 = 0 THEN 1 - label % 2
+                         ELSE 1/(1+exp(-cast(embedding[1] AS double))) END AS p FROM embeddings)
+       SELECT y AS label, round(avg(-ln(greatest(CASE WHEN y = 1 THEN p ELSE 1-p END, 1e-15))), 6) AS loss,
               round(avg(CASE WHEN (CASE WHEN p > 0.5 THEN 1 ELSE 0 END) = y THEN 1.0 ELSE 0.0 END) * 100, 6) AS accuracy
        FROM e GROUP BY 1""",
 )
 def log_loss(spark, sf):
+    """Every fiftieth vector is sure of the wrong class."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("embedding")[0].cast("double")))
+    p = F.when(F.col("vec_id") % 50 == 0, (1 - F.col("label") % 2).cast("double")).otherwise(p)
     scored = table(spark, sf, "embeddings").select(
         (F.col("label") % 2).alias("label"), F.array(1 - p, p).alias("probs")
     )
@@ -318,7 +321,7 @@ def samples(spark, sf):
         F.expr("concat('clip_', lpad(cast(vec_id div 40 AS string), 6, '0'))").alias("clip_id")
     ).agg(F.expr("min_by(label, vec_id)").alias("first"))
     clips = vector_clips(spark, sf)
-    found = features.clip_features(vector_poses(spark, sf), clips, target=8, max_persons=4)
+    found = features.clip_features(vector_poses(spark, sf), clips, target=12, max_persons=4)
     return found.join(clips.select("clip_id", "dataset"), "clip_id").join(
         first.select("clip_id", (F.col("first") % 2).cast("int").alias("label")), "clip_id"
     )

@@ -238,7 +238,7 @@ def dense_frame_index(spark, sf):
 
 @query("keypoint_document_source", with_tables(ANNOTATIONS) + _ANNOTATION_JOINTS)
 def keypoint_document_source(spark, sf):
-    """Images and annotations written as JSON objects by many tasks, read back as documents.
+    """Images and annotations written as JSON documents by many tasks and read back.
 
     Objects of one image may end up in different files, so nothing may depend on their
     order: only the last name of an image is written, and equal scores are told apart by
@@ -249,12 +249,15 @@ def keypoint_document_source(spark, sf):
     scored = annotations(spark, sf).withColumn(
         "score", F.coalesce("score", F.lit(1.0)) - (F.col("pos") % 4) * 0.001
     )
-    named.select(F.to_json(F.struct("id", "file_name")).alias("value")).write.text(f"{path}/images")
-    scored.select(F.to_json(F.struct("image_id", "keypoints", "score")).alias("value")).write.text(
-        f"{path}/annotations"
-    )
-    read_images, _ = read_keypoint_json(spark, f"{path}/images")
-    _, read_notes = read_keypoint_json(spark, f"{path}/annotations")
+    # Nested objects before and after the marks, with braces and quotes inside their strings.
+    odd = F.struct(F.struct(F.lit('}{"').alias("text")).alias("inner"))
+    image = F.to_json(F.struct(odd.alias("meta"), "id", "file_name"))
+    note = F.to_json(F.struct(odd.alias("seg"), "image_id", "keypoints", "score", odd.alias("more")))
+    lines = named.select(F.concat(F.lit('{"info":{"v":"{"},"images":['), image, F.lit("]}")).alias("value"))
+    lines.unionByName(
+        scored.select(F.concat(F.lit('{"annotations":['), note, F.lit('],"images":[]}')).alias("value"))
+    ).write.text(path)
+    read_images, read_notes = read_keypoint_json(spark, path)
     people = ingest.group_annotations(
         read_images.withColumn("source", F.lit("doc")), read_notes.withColumn("source", F.lit("doc"))
     )
@@ -269,12 +272,12 @@ def keypoint_document_source(spark, sf):
     with_tables(VECTOR_JOINTS, VECTOR_CLIPS, SPINE)
     + """SELECT spine.clip_id, spine.frame, cast(m.m AS int) AS person, cast(r.j AS int) AS j,
                 round(coalesce(pj.x, 0), 6) AS x, round(coalesce(pj.y, 0), 6) AS y, round(coalesce(pj.s, 0), 6) AS s
-         FROM spine, range(3) m(m), range(17) r(j) LEFT JOIN pj ON pj.clip_id = spine.clip_id AND pj.frame = spine.frame
-              AND pj.person = m.m AND pj.j = r.j AND (pj.frame + pj.person) % 3 <> 0""",
+         FROM spine, range(6) m(m), range(17) r(j) LEFT JOIN pj ON pj.clip_id = spine.clip_id AND pj.frame = spine.frame
+              AND pj.person = m.m AND pj.j = r.j""",
 )
 def dense_slots(spark, sf):
-    some = vector_poses(spark, sf).filter((F.col("frame") + F.col("person")) % 3 != 0)
-    return long_joints(ingest.densify(some, vector_clips(spark, sf), 3))
+    # More slots than people, so that some are absent everywhere.
+    return long_joints(ingest.densify(vector_poses(spark, sf), vector_clips(spark, sf), 6))
 
 
 @query(
@@ -305,7 +308,7 @@ def detections(spark, sf):
         "cast(embedding[2*j+1] AS double)*1000 AS y,"
         "CASE WHEN j = 3 THEN CAST(NULL AS DOUBLE) ELSE greatest(cast(embedding[34+j] AS double)*5, 0.0D) END AS s))"
     )
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") % 9 != 0).select(
+    return table(spark, sf, "embeddings").select(
         F.expr(CLIP_ID).alias("clip_id"),
         F.expr("cast((vec_id % 40) div 4 AS int)").alias("frame"),
         F.expr("cast(vec_id % 4 AS int)").alias("det"),
@@ -319,7 +322,7 @@ def detections(spark, sf):
     """WITH d AS (SELECT 'clip_' || lpad(cast(vec_id//40 AS varchar), 6, '0') AS clip_id, cast((vec_id%40)//4 AS int) AS frame,
                          cast(vec_id%4 AS int) AS det,
                          coalesce(CASE WHEN vec_id%6 = 0 THEN NULL ELSE round(abs(cast(embedding[61] AS double)), 1) END, 1.0) AS box_conf
-                  FROM embeddings WHERE vec_id % 9 <> 0)
+                  FROM embeddings)
        SELECT clip_id, frame, det, round(box_conf, 6) AS box_conf, rank FROM (
          SELECT *, cast(row_number() OVER (PARTITION BY clip_id, frame ORDER BY box_conf DESC, det DESC) - 1 AS int) AS rank FROM d)
        WHERE rank < 2""",

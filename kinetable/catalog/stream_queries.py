@@ -16,7 +16,7 @@ from kinetable.catalog.ingest_queries import detections
 from kinetable.catalog.registry import query, r6, with_tables
 from kinetable.catalog.signal_queries import BASELINE, MOTION
 from kinetable.operators import tracking
-from kinetable.session import materialize
+from kinetable.session import scratch_path
 from kinetable.streaming import run, stateful
 from kinetable.streaming import windows as live
 
@@ -28,24 +28,21 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _derived_stream(df: DataFrame, label: str) -> DataFrame:
-    """A derived table, written once to the shared folder, as a stream."""
-    stored = materialize(df, label)
-    return run.read_stream(df.sparkSession, stored.inputFiles()[0].rsplit("/", 1)[0], df.schema)
-
-
-_EMITTED = "(SELECT max(ts) FROM events)"
+def _derived_stream(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """A derived table, written once to the shared folder, as a stream of ``files`` per batch."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return run.read_stream(df.sparkSession, path, df.schema, files=files)
 
 
 @query(
     "stream_tumbling_counts",
-    f"""WITH w AS (
+    """WITH w AS (
           SELECT cast(user_id AS varchar) AS segment, epoch_us(ts) // 86400000000 AS day,
                  CASE WHEN event_type IN ('click','purchase') THEN 0 ELSE 1 END AS channel,
                  cast(least(greatest((event_id*53)%16-2, 0), 11) AS int) AS y,
                  cast(least(greatest((event_id*37)%20-2, 0), 15) AS int) AS x FROM events)
-        SELECT segment, day, channel, y, x, count(*) AS n FROM w
-        WHERE (day + 1) * 86400000000 <= epoch_us({_EMITTED}) - 3600000000 GROUP BY ALL""",
+        SELECT segment, day, channel, y, x, count(*) AS n FROM w GROUP BY ALL""",
 )
 def stream_tumbling_counts(spark, sf):
     events = _event_stream(spark, sf).select(
@@ -54,7 +51,8 @@ def stream_tumbling_counts(spark, sf):
         ((F.col("event_id") * 53) % 16 - 2).cast("double").alias("y"),
         F.when(F.col("event_type").isin("click", "purchase"), 1.0).otherwise(-1.0).alias("p"),
     )
-    done = run.drain(live.tumbling_counts(events, "1 day", "1 hour", 12, 16), "tumbling")
+    events, end = run.ending(events, "tumbling")
+    done = run.drain(live.tumbling_counts(events, "1 day", "1 hour", 12, 16), "tumbling", end)
     day = F.expr("unix_micros(window_start) div 86400000000L")
     return done.select("segment", day.alias("day"), "channel", "y", "x", "n")
 
@@ -65,14 +63,14 @@ def stream_tumbling_counts(spark, sf):
         m AS (SELECT *, lag(t) OVER (PARTITION BY clip_id ORDER BY t) AS p FROM h),
         k AS (SELECT *, sum(CASE WHEN p IS NULL OR t > p + 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY t
                      ROWS UNBOUNDED PRECEDING) AS s FROM m)
-        SELECT clip_id, min(t) AS first, max(t) AS last, round(max(score), 6) AS peak FROM k GROUP BY clip_id, s
-        HAVING max(t) + 21600000000 <= (SELECT max(t) FROM h) - 3600000000""",
+        SELECT clip_id, min(t) AS first, max(t) AS last, round(max(score), 6) AS peak FROM k GROUP BY clip_id, s""",
 )
 def stream_session_incidents(spark, sf):
     scores = _event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("clip_id"), "ts", (F.col("value") / 100).alias("score")
     )
-    done = run.drain(live.session_incidents(scores, 6 * 3600), "sessions")
+    scores, end = run.ending(scores, "sessions")
+    done = run.drain(live.session_incidents(scores, 6 * 3600), "sessions", end)
     return done.select(
         "clip_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), r6("peak")
     )
@@ -83,11 +81,13 @@ def stream_session_incidents(spark, sf):
     with_tables(SCORE_STREAMS)
     + """, w AS (SELECT clip_id, start, score FROM (SELECT fs.*, unnest([frame//4*4, frame//4*4-4]) AS start FROM fs) WHERE start >= 0),
          g AS (SELECT clip_id, cast(start AS int) AS start, avg(score) AS score FROM w GROUP BY 1, 2 HAVING count(*) = 8)
-         SELECT clip_id, start, round(score, 6) AS score FROM g WHERE start + 8 <= (SELECT max(frame) FROM fs) - 4""",
+         SELECT clip_id, start, round(score, 6) AS score FROM g""",
 )
 def stream_sliding_scores(spark, sf):
-    stream = _derived_stream(score_streams(spark, sf), "scores")
-    done = run.drain(live.sliding_scores(run.frame_clock(stream), 8, 4, 4), "sliding")
+    # By hash, so that every micro-batch holds frames of every part of a clip.
+    mixed = score_streams(spark, sf).repartition(4, "frame")
+    stream = _derived_stream(mixed, "scores", files=1)
+    done = run.drain(live.sliding_scores(stream, 8, 4), "sliding")
     return done.select("clip_id", "start", r6("score"))
 
 

@@ -208,7 +208,7 @@ def incident_report(
 def timeline(
     scores: DataFrame, threshold: float, fps: float = 30.0, key: str = "clip_id"
 ) -> DataFrame:
-    """Rows behind the review plot: time, score, activity, flag."""
+    """Rows behind the review plot: time, score, activity, flag. NaN counts as no score."""
     activity = F.col("activity") if "activity" in scores.columns else F.lit(None).cast("double")
     return scores.select(
         key,
@@ -216,7 +216,7 @@ def timeline(
         seconds(F.col("frame"), fps).alias("t"),
         "score",
         activity.alias("activity"),
-        (F.col("score") >= threshold).alias("flagged"),
+        ((F.col("score") >= threshold) & ~F.isnan("score")).alias("flagged"),
     )
 
 

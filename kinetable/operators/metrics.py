@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kinetable.dims import INTERACTION_CLASSES
 
+LEAST = 1e-15
+
 
 def confusion(
     predictions: DataFrame, classes: int, by: list[str] | None = None, target: str = "target", pred: str = "pred"
@@ -89,9 +91,13 @@ def report(
         "recall",
         F.lit(None).cast("double").alias("accuracy"),
     )
-    counted = matrix.groupBy(*by).agg(F.sum("n").alias("support"))
-    exact = accuracy(predictions, by).drop("n")
-    whole = (counted.join(exact, by) if by else counted.join(exact)).select(
+    both = "target", "pred"
+    inside = [F.col(c).between(0, classes - 1) for c in both]
+    hit = (F.col(both[0]) == F.col(both[1])).cast("double")
+    whole = predictions.groupBy(*by).agg(
+        F.count(F.when(inside[0] & inside[1], 1)).alias("support"),
+        F.coalesce(F.avg(hit), F.lit(0.0)).alias("accuracy"),
+    ).select(
         *by,
         F.lit(-1).alias("class"),
         F.lit("total").alias("name"),
@@ -104,8 +110,11 @@ def report(
 
 
 def split_loss(scored: DataFrame, by: list[str] | None = None, probs: str = "probs", label: str = "label") -> DataFrame:
-    """Mean cross-entropy and accuracy in percent of class probabilities; (0, 0) without rows."""
-    chosen = F.col(probs)[F.col(label)]
+    """Mean cross-entropy and accuracy in percent of class probabilities; (0, 0) without rows.
+
+    A probability below LEAST counts as LEAST, so that a sure error costs much and not nothing.
+    """
+    chosen = F.greatest(F.col(probs)[F.col(label)], F.lit(LEAST))
     best = F.array_position(probs, F.array_max(probs)) - 1
     hit = (best == F.col(label)).cast("double")
     return scored.groupBy(*(by or [])).agg(

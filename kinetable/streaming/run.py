@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +27,33 @@ def frame_clock(df: DataFrame, frame: str = "frame", out: str = "ts") -> DataFra
     return df.withColumn(out, F.timestamp_seconds(F.col(frame)))
 
 
-def start(stream: DataFrame, label: str) -> tuple[StreamingQuery, str]:
-    """Append the stream to Parquet under the shared scratch folder, reading all present input."""
-    path = scratch_path(stream.sparkSession, label)
+#: Event time of the row that ends a stream.
+END = "9000-01-01"
+
+
+def ending(stream: DataFrame, label: str, clock: str = "ts") -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a second source beside it, and what writes the row that ends it there.
+
+    That row has only an event time, far behind all others: it moves the watermark past every
+    open window, so that they are emitted, and its own group is never closed.
+    """
+    spark, folder = stream.sparkSession, scratch_path(stream.sparkSession, f"{label}-end")
+    schema = stream.schema
+    spark.createDataFrame([], schema).write.parquet(folder)
+
+    def end() -> None:
+        columns = [F.lit(END if f.name == clock else None).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(1).select(*columns).write.mode("append").parquet(folder)
+
+    return stream.unionByName(read_stream(spark, folder, schema)), end
+
+
+def start(stream: DataFrame, label: str, path: str | None = None) -> tuple[StreamingQuery, str]:
+    """Append the stream to Parquet under the shared scratch folder, reading all present input.
+
+    With the ``path`` of an earlier start the stream goes on where that one stopped.
+    """
+    path = path or scratch_path(stream.sparkSession, label)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -38,17 +64,28 @@ def start(stream: DataFrame, label: str) -> tuple[StreamingQuery, str]:
     return query, path
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run to the end of the present input; the rows written."""
+def drain(stream: DataFrame, label: str, end: Callable[[], None] | None = None) -> DataFrame:
+    """Run to the end of the present input, then past ``end`` if given; the rows written."""
     query, path = start(stream, label)
     query.awaitTermination()
+    # The first batch with an end moves the watermark, the second one works under it.
+    for _ in range(2 if end is not None else 0):
+        end()
+        start(stream, label, path)[0].awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+def late_rows(query: StreamingQuery, every: float = 0.2) -> int:
+    """Rows that the query dropped behind the watermark by the time it ends.
+
+    A query keeps its last progress entries only, so they are read while it runs.
+    """
+    dropped: dict[tuple, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(every)
+        for progress in query.recentProgress:
+            number = sum(int(operator["numRowsDroppedByWatermark"]) for operator in progress["stateOperators"])
+            entry = (progress["runId"], progress["batchId"], progress["timestamp"])
+            dropped[entry] = max(number, dropped.get(entry, 0))
+    return sum(dropped.values())

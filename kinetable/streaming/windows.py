@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinetable.dims import SENSOR_HEIGHT, SENSOR_WIDTH
 from kinetable.operators.events import to_sensor
@@ -38,21 +42,48 @@ def sliding_scores(
     scores: DataFrame,
     window: int = 64,
     stride: int = 16,
-    watermark: int = 16,
     key: str = "clip_id",
+    idle: str | None = None,
 ) -> DataFrame:
-    """Mean score of each complete sliding window on the frame clock: (key, start, score).
+    """Mean score of each complete sliding window of frames: (key, start, score).
 
-    Windows before frame 0 and incomplete ones are dropped. The flush-right window of a
-    clip is unknown while the clip is open and is left to the batch operator.
+    Windows before frame 0 and incomplete ones are dropped. A window is complete when all its
+    frames have come, in whatever order and however late its clip begins, so no clock over
+    all clips can close it early. Its state is a sum and a count. A stream that never ends sets
+    ``idle``, the time without rows after which an open window is given up (with a trigger that
+    ends at the present input it would wait for that time). The flush-right window of a clip is unknown while the clip is open and is left
+    to the batch operator.
     """
-    timed = scores.withWatermark("ts", f"{watermark} seconds")
-    slid = timed.groupBy(key, F.window("ts", f"{window} seconds", f"{stride} seconds").alias("w")).agg(
-        F.avg("score").alias("score"), F.count("*").alias("frames")
+    first = f"cast(greatest(floor((frame - {window}) / {stride}) + 1, 0) as bigint)"
+    slots = F.expr(f"explode(sequence({first}, cast(frame as bigint) div {stride}))")
+    placed = scores.select(key, slots.alias("_slot"), "score").select(
+        key, (F.col("_slot") * stride).cast("int").alias("start"), "score"
     )
-    start = F.unix_seconds(F.col("w.start")).cast("int")
-    return slid.filter((start >= 0) & (F.col("frames") == window)).select(
-        key, start.alias("start"), "score"
+    if not scores.isStreaming:
+        found = placed.groupBy(key, "start").agg(F.avg("score").alias("score"), F.count("*").alias("_frames"))
+        return found.filter(F.col("_frames") == window).select(key, "start", "score")
+    patience = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+
+    def gather(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, frames = state.get if state.exists else (0.0, 0)
+        for part in parts:
+            total, frames = total + float(part["score"].sum()), frames + len(part)
+        if frames >= window:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({key: [keys[0]], "start": [keys[1]], "score": [total / frames]})
+        else:
+            state.update((total, frames))
+            if patience:
+                state.setTimeoutDuration(patience)
+
+    kind = scores.schema[key].dataType.simpleString()
+    return placed.groupBy(key, "start").applyInPandasWithState(
+        gather, f"{key} {kind}, start int, score double", "total double, frames int",
+        "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
     )
 
 
@@ -63,12 +94,15 @@ def session_incidents(
     watermark: str = "1 hour",
     key: str = "clip_id",
 ) -> DataFrame:
-    """Hot rows at most ``gap_seconds`` apart form one incident: (key, first, last, peak).
+    """Hot rows (NaN counts as no score) at most ``gap_seconds`` apart form one incident: (key, first, last, peak).
 
     On the frame clock, windows of w frames with max_gap g use a gap of w + g seconds, and
     the incident ends at last + w.
     """
-    hot = scores.filter(F.col("score") >= threshold).withWatermark("ts", watermark)
+    timed = scores.withWatermark("ts", watermark)
+    # Tied to the event time, the condition stays behind the watermark, which every row moves.
+    counts = (F.col("score") >= threshold) & ~F.isnan("score")
+    hot = timed.filter(F.when(F.col("ts").isNotNull(), counts))
     return (
         hot.groupBy(key, F.session_window("ts", f"{gap_seconds} seconds").alias("w"))
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("score").alias("peak"))

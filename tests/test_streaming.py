@@ -83,7 +83,7 @@ def test_sessions_match_incidents(spark, tmp_path, series):
 def test_sliding_matches_complete_windows(spark, tmp_path, series):
     df = run.frame_clock(series_frame(spark, series | {"end": [0.0] * 200}))
     stream = as_stream(spark, df, tmp_path, "frame", 4)
-    got = run.drain(live.sliding_scores(stream, 8, 4, 4), "t-sliding").filter("clip_id != 'end'")
+    got = run.drain(live.sliding_scores(stream, 8, 4), "t-sliding").filter("clip_id != 'end'")
     lengths = clips_frame(spark, {k: len(v) for k, v in series.items()})
     want = (
         windows.assign_windows(df.filter("clip_id != 'end'"), lengths, 8, 4)
@@ -94,6 +94,32 @@ def test_sliding_matches_complete_windows(spark, tmp_path, series):
     assert rows(got) == rows(want)
 
 
+def test_sliding_keeps_clips_that_start_late_and_unordered_frames(spark, tmp_path):
+    """A long clip is far ahead when a second one starts, and its frames come mixed."""
+    df = series_frame(spark, {"a": [0.5] * 200, "b": [0.25] * 60}).withColumn(
+        "batch", F.when(F.col("clip_id") == "a", F.col("frame") % 2).otherwise(2 + F.col("frame") % 3)
+    )
+    stream = as_stream(spark, df, tmp_path, "batch", 5).drop("batch")
+    got = run.drain(live.sliding_scores(stream, 8, 4), "t-late-clips")
+    assert rows(got) == rows(live.sliding_scores(df.drop("batch"), 8, 4))
+    assert {r["clip_id"] for r in got.collect()} == {"a", "b"}
+
+
+def test_ended_streams_emit_everything(spark, tmp_path, series):
+    scores = run.frame_clock(series_frame(spark, series | {"nan": [float("nan")] * 3 + [1.0]}))
+    stream, end = run.ending(as_stream(spark, scores, tmp_path / "s", "frame", 4), "t-end")
+    got = run.drain(live.session_incidents(stream, 3, watermark="1 hour"), "t-ended", end)
+    assert rows(got) == rows(live.session_incidents(scores, 3)) and got.count() > 5
+    t0 = datetime(2024, 1, 1)
+    events = spark.createDataFrame(
+        [("s", t0 + timedelta(milliseconds=10 * i), float(i % 5), 2.0, float(i % 3 - 1)) for i in range(100)],
+        "segment string, ts timestamp, x double, y double, p double",
+    )
+    stream, end = run.ending(as_stream(spark, events, tmp_path / "e", "ts", 3), "t-end-events")
+    got = run.drain(live.tumbling_counts(stream, "100 milliseconds", "1 second", 10, 10), "t-ended-events", end)
+    assert rows(got) == rows(live.tumbling_counts(events, "100 milliseconds", "1 second", 10, 10))
+
+
 def test_tumbling_counts_and_late_rows(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     early = [("s", t0 + timedelta(milliseconds=10 * i), float(i % 5), 2.0, float(i % 3 - 1)) for i in range(300)]
@@ -109,7 +135,6 @@ def test_tumbling_counts_and_late_rows(spark, tmp_path):
     stream = spark.readStream.schema(early_rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
     counted = live.tumbling_counts(stream, "100 milliseconds", "100 milliseconds", 10, 10)
     query, path = run.start(counted, "t-tumbling")
-    query.awaitTermination()
     assert run.late_rows(query) >= 1  # the late rows share one group, which is dropped
     got = spark.read.parquet(path)
     want = live.tumbling_counts(early_rows, "100 milliseconds", "100 milliseconds", 10, 10)
