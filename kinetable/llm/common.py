@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets whole texts reach Python in batches of about 1 MB, unless the session sets a size.
+
+    Buffers of the default of 64 MB, on either side of the pipe and in every thread that has
+    written one, are more than a small executor has beside its heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "1m")
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, safe from lost executors."""
     return materialize(df, f"llm-{label}")

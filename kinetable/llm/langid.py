@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetable.llm.common import store
+from kinetable.llm.common import small_batches, store
 
 ORDER = 4
 #: n-grams of each order and language are kept by a hash of this many bits, which bounds a model.
@@ -19,9 +19,9 @@ SLOT_BITS = 18
 #: Languages a model may hold; more raise an error.
 MAX_LANGUAGES = 64
 #: Distinct n-grams gathered by a task before it hands them on.
-GATHERED = 400_000
+GATHERED = 200_000
 #: Code points that are worked on at a time.
-SEGMENT = 1_000_000
+SEGMENT = 300_000
 #: Deviations above its language's mean at which a text is rejected.
 REJECT = 8.0
 #: Inverse temperatures among which calibration chooses.
@@ -84,6 +84,7 @@ def segments(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(``lang``, ``key``, ``n``) of all 4-grams in whole texts, by language."""
     schema = "lang string, key long, n long"
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_letters())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,6 +233,7 @@ def train(docs: DataFrame) -> Model:
 def measured(spark: SparkSession, text: Column, model: Model) -> Column:
     """Struct of a whole text: ``n`` letters and spaces, ``costs`` (mean cost per language) and
     ``spread`` (variance of the lowest language's costs). Without a letter ``n`` is 0."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((tuple(model), _letters()))
     kind = "struct<n:long,costs:array<double>,spread:double>"
     languages = len(model.languages)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,15 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import numbered, store
+from kinetable.llm.common import numbered, small_batches, store
 
 CAPACITY, END_ID = 4096, 1
 #: Rounds of the weights, and how fast a price falls with what its length got too much.
 ROUNDS, STEP = 100, 0.1
 #: Documents whose ids are laid out at a time.
 LOT = 500
-#: Documents whose words are looked up together.
-BATCH = 5000
+#: Bytes of documents whose words are looked up together.
+BATCH = 3_000_000
 #: ASCII marks that are neither letters, digits nor white space.
 MARKS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
 #: Letters up to U+024F with one lower-case form, no combining marks.
@@ -58,32 +57,37 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        suffix = model["end_of_word_suffix"]
-        self.letters = Tokenizer(
-            models.BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=suffix)
-        )
+        # The same vocabulary without the steps that bare letters do not need.
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
-        self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.bytes_as = _byte_letters()
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of each text."""
-        ids = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = self._encoded(self.tokenizer, texts, 300)
         return np.concatenate([np.empty(0, np.int64), *ids]), np.array([len(x) for x in ids], np.int64)
 
+    @staticmethod
+    def _encoded(tokenizer, texts: list[str], lot: int) -> list[np.ndarray]:
+        """Ids of each text, a few at a time: what the tokenizer returns is large beside them."""
+        found = []
+        for at in range(0, len(texts), lot):
+            encoded = tokenizer.encode_batch_fast(texts[at : at + lot], add_special_tokens=False)
+            found += [np.array(e.ids, np.int64) for e in encoded]
+        return found
+
     def spelled(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of lower-case Latin letters alone."""
         cores = [c if c.isascii() else c.encode().decode("latin-1").translate(self.bytes_as) for c in cores]
         lines = [" ".join(cores[at : at + 1000]) for at in range(0, len(cores), 1000)]
-        encoded = self.letters.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.int64), *(np.array(e.ids, np.int64) for e in encoded)])
+        ids = np.concatenate([np.empty(0, np.int64), *self._encoded(self.letters, lines, 3)])
         sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         if len(sizes) != len(cores):
             raise ValueError("a word does not end in one word-end token")
@@ -142,6 +146,21 @@ class WordIds:
                     yield flat[ends[k - at] : ends[k - at + 1]]
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Both columns of the batches, put together to lots of about BATCH bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH:
+            yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            held, size = [], 0
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """(``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``) of every document.
 
@@ -153,9 +172,9 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
         ids_of = WordIds(tokenizer_file)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
+        for docs_, texts in _lots(batches):
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1)), strict=True):
+            for doc, ids in zip(docs_.to_pylist(), ids_of(texts), strict=True):
                 data = np.append(ids, END_ID).astype("<u4").tobytes()
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
@@ -163,6 +182,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinetable.llm.common import small_batches, store
+
 FEATURES, RIDGE, SEED = 384, 1e-3, 7
 #: Bins of the raw score over -0.5 to 1.5, from which the isotonic scale is fitted.
 BINS = 1000
 #: A document is kept from this calibrated score on.
 KEEP = 0.3
 #: Code points whose classes are counted at a time.
-SEGMENT = 1_000_000
+SEGMENT = 300_000
+#: Rows whose features are held at a time.
+ROWS = 1000
 
 # Classes of characters that are counted, fixed values.
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", ".", ",", "!?", "|", "#$%&*", "quotes", "brackets", "<>/\\=", "-_:;@+~^`", "other")
@@ -81,6 +85,7 @@ def _statistics(texts: list[str | None], classes: np.ndarray) -> np.ndarray:
 
 def document_statistics(spark: SparkSession, text: Column) -> Column:
     """Statistics of whole texts as an array; a null text has those of an empty one."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(_classes())
 
     @F.pandas_udf("array<double>")
@@ -108,7 +113,12 @@ def _features(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray, directions
 
 
 def _raw(stats: np.ndarray, model: tuple) -> np.ndarray:
-    return _features(stats, *model[:4]) @ model[4]
+    parts = [stats[at : at + ROWS] for at in range(0, len(stats), ROWS)]
+    return np.concatenate([np.zeros(0), *(_features(part, *model[:4]) @ model[4] for part in parts)])
+
+
+def _calibrated(stats: np.ndarray, model: tuple) -> np.ndarray:
+    return np.clip(np.interp(_raw(stats, model), model[5], model[6]), 0.0, 1.0)
 
 
 def _bin(raw: np.ndarray) -> np.ndarray:
@@ -140,7 +150,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model | None:
     spark = rows.sparkSession
     marks = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.avg("label").alias("label"))
-    known = rows.select("doc_id", "stats").join(marks, "doc_id").select("stats", "label")
+    known = store(rows.select("doc_id", "stats").join(marks, "doc_id").select("stats", "label"), "labelled")
     each = [F.get("stats", k) for k in range(STATISTICS)]
     totals = known.agg(
         F.count(F.lit(1)).alias("n"),
@@ -159,8 +169,10 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model | None:
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((FEATURES + 1, FEATURES + 2))
         for batch in batches:
-            x = _features(_stacked(batch["stats"]), *shared.value)
-            sums += x.T @ np.hstack([x, batch["label"].to_numpy(float)[:, None]])
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                x = _features(_stacked(part["stats"]), *shared.value)
+                sums += x.T @ np.hstack([x, part["label"].to_numpy(float)[:, None]])
         yield pd.DataFrame({"i": np.arange(len(sums)), "sums": list(sums)})
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
@@ -185,6 +197,21 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model | None:
     return Model(*kernel, weights, middle, isotonic(bins["label"].to_numpy(float), bins["n"].to_numpy(float)))
 
 
+def score_text(spark: SparkSession, text: Column, model: Model | None) -> Column:
+    """``score`` of a text's statistics in one step, so that a task needs one Python worker."""
+    if model is None:
+        return F.lit(0.5)
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast((tuple(model), _classes()))
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(texts: pd.Series) -> pd.Series:
+        own, classes = shared.value
+        return pd.Series(_calibrated(_statistics(texts.tolist(), classes), own))
+
+    return scored(text)
+
+
 def score(spark: SparkSession, stats: Column, model: Model | None) -> Column:
     """Calibrated score from 0 to 1; 0.5 for every document if there is no model."""
     if model is None:
@@ -193,7 +220,6 @@ def score(spark: SparkSession, stats: Column, model: Model | None) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def scored(values: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series(np.clip(np.interp(_raw(_stacked(values), own), own[5], own[6]), 0.0, 1.0))
+        return pd.Series(_calibrated(_stacked(values), shared.value))
 
     return scored(stats)

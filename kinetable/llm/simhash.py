@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from kinetable.llm.common import numbered, store
+from kinetable.llm.common import numbered, small_batches, store
 from kinetable.llm.components import components
 
 #: Fingerprints in a leaf of the index, children of an upper node, fingerprints in a leaf's part.
@@ -48,6 +48,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Adds the SimHash of whole texts over shingles of three words, ASCII letters lower-cased."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, _fingerprints(F.col(text)))
 
 
@@ -197,6 +198,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Among repeated rows of that id one stays; a row without a doc_id stays only if its class
     has no other. The columns are those of ``docs``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("_doc"), "doc_id", _fingerprints(F.col("text")).alias("fp"))
     rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
     prints = rows.select("_row", "doc_id", "fp")

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetable.llm.common import small_batches
+
 #: Pre-tokens in a leaf of a tree, and distinct pre-tokens whose counts a task remembers.
 LEAF, REMEMBERED = 32, 200_000
 EDIT = "struct<start:int,stop:int,text:string>"
@@ -156,6 +158,7 @@ def recounted(spark: SparkSession, text: Column, edits: Column, ranks_file: str,
     Edits must lie in the text and not overlap; others raise an error. Null texts and empty ones
     have no tokens, null edits are none.
     """
+    small_batches(spark)
     kind = "struct<tokens:long,edited_tokens:long,n_edits:long,chars:long,encoded_again:long,leaves:long>"
 
     @F.pandas_udf(kind)
