@@ -13,6 +13,9 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+#: Columns that are null by contract where a row has no such thing.
+NULL_BY_CONTRACT = {"rank", "refers_to"}
+
 
 def _value(v):
     if v is None or v != v:
@@ -54,7 +57,7 @@ def compare(spark, con, name, fn, sql, sf) -> str | None:
     other = [t for t in types if t[1] != t[2] and "string" not in t[1]]
     if other:
         return f"types {other}"
-    nullable = [n for n in a_names if ours[n].null_count and not pa.types.is_string(ours[n].type)]
+    nullable = [n for n in a_names if n not in NULL_BY_CONTRACT and ours[n].null_count and not pa.types.is_string(ours[n].type)]
     return f"NULLs in {nullable}" if nullable else None
 
 
