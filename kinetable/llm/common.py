@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1m")
 
 
+def segments(text: str | bytes, size: int, gap: re.Pattern) -> Iterator[str | bytes]:
+    """The whole text in pieces of about ``size``, each cut after a match of ``gap``: no word is torn."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            found = gap.search(text, end)
+            end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, safe from lost executors."""
     return materialize(df, f"llm-{label}")

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import ann, bm25, chat, langid, mixing, packing, quality, sharding, simhash, token_counts
+from kinetable.llm import ann, bm25, chat, filter_audit, langid, mixing, packing, quality, resampling, sharding, simhash, token_counts, warc
 from kinetable.llm.common import id_crc, store, table
+from kinetable.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -228,3 +229,128 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     counts = token_counts.recounted(spark, F.col("text"), F.col("edits"), vocabulary, public_tokenizers.PATTERN)
     return docs.withColumn("edits", edits).select("doc_id", counts.alias("c")).select("doc_id", "c.*")
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), measured AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs
+), failing AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 'E' ELSE '' END AS failed
+  FROM measured
+), marks AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT part, failed, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, count(*) AS n
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS letter, substr(filter_order, 1, step::INT - 1) AS earlier
+  FROM orders, range(1, 6) AS s(step)
+), met AS (
+  SELECT *, contains(failed, letter) AS fails, length(translate(earlier, failed, '')) < length(earlier) AS gone FROM counted, steps
+), audited AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND fails AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM audited
+"""
+
+
+@query(AUDIT_SQL)
+def op11_audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters over all documents, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+RESAMPLE_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT 'b', NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), spelled AS (
+  SELECT word, list_transform(range(0, strlen(word)), lambda p: ('0x' || substr(hex(word), (2 * p + 1)::INT, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT word FROM words)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295::BIGINT) % 10000 AS bucket FROM spelled, crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weighted AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN weighted USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query(RESAMPLE_SQL)
+def op12_resample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weight for the benchmark's distribution, and the drawn tenth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark"))
+
+
+WARC_SQL = r"""
+WITH sized AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), met AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM met
+"""
+
+
+@query(WARC_SQL)
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back from them."""
+    name = "urn:page:"
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("place"),
+        F.concat(F.lit(name), F.col("page_id").cast("string")).alias("record_id"),
+        F.col("url").alias("uri"),
+        F.col("html").alias("payload"),
+    )
+    path = scratch_path(spark, "llm-warc")
+    warc.write(pages, path, name)
+    found = warc.records(warc.read(spark, path, data=False))
+
+    def number(column: str):
+        return F.nullif(F.replace(F.col(column), F.lit(name), F.lit("")), F.lit("")).cast("long")
+
+    return found.select(
+        number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")
+    )
