@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,15 +65,53 @@ def _own_root(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete what this application stored in the shared folder; results read from it end too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_root(spark))
+
+
+#: Spark removes the shuffle files of an execution when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Executions inside leave no shuffle files behind: what they write is read from the table."""
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:  # an older Spark
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: survives lost executors, cuts lineage."""
+    """Write ``df`` to the shared folder and read it back: survives lost executors, cuts lineage.
+
+    Its shuffle files go as soon as the table is written.
+    """
     path = scratch_path(df.sparkSession, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _own_shuffles(df.sparkSession):
+        writer.parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+#: Where the tables of :func:`materialize` lie, for :func:`discard`.
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, _STORED.pop(table))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
