@@ -43,9 +43,16 @@ def segments(text: str | bytes, size: int, gap: re.Pattern) -> Iterator[str | by
         at = end
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, safe from lost executors."""
-    return materialize(df, f"llm-{label}")
+#: Narrow rows that a stored file holds at least, where their number is known.
+ROWS_A_FILE = 1 << 15
+
+
+def store(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, safe from lost executors.
+
+    With about how many ``rows`` it has, a small table is a few files instead of one a partition.
+    """
+    return materialize(df if rows is None else df.coalesce(rows // ROWS_A_FILE + 1), f"llm-{label}")
 
 
 def id_crc(column: str = "doc_id") -> Column:

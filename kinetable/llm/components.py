@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.llm.common import store
+from kinetable.session import discard
 
 
 def _lower(links: DataFrame) -> DataFrame:
@@ -30,15 +31,18 @@ def components(links: DataFrame) -> DataFrame:
     """(``node``, ``root``) for every node with a link; the root is the smallest node reachable.
 
     ``links`` has two long columns ``u`` and ``v``. Rounds grow with the logarithm of the
-    longest chain. Each round's links are stored; the driver sees a count and a sum of hashes.
+    longest chain. Each round's links are stored and those before are deleted; the driver sees a
+    count and a sum of hashes.
     """
+    # Their number is not known yet.
     links = store(links.toDF("u", "v").where("u <> v").distinct(), "links")
-    last = None
+    last, rows = None, links.count()
     while True:
-        links = store(_small_star(_large_star(links)).distinct(), "links")
+        before, links = links, store(_small_star(_large_star(links)).distinct(), "links", rows)
+        discard(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        last, rows = now, now[0]
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(links.select("v", "v").distinct())

@@ -3,11 +3,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from kinetable.llm import mixing, simhash
+from kinetable.llm import mixing
 from kinetable.llm.common import store
 from kinetable.llm.queries import ORACLES, QUERIES
 
 from .conftest import SF
+from .test_near_texts import brute
 
 NAMES = ["quality", "language", "near_duplicates", "mix", "pack"]
 
@@ -37,8 +38,7 @@ def test_stages_on_a_sample_corpus(spark, small):
     kept, all_ = dict(map(tuple, kept)), dict(map(tuple, marked.groupBy("quality").count().collect()))
     assert kept[1] >= 0.97 * all_[1] and kept.get(0, 0) <= 0.2 * all_[0]
     assert spoken.count() >= 0.97 * good.count()
-    classes = simhash.near_classes(simhash.with_fingerprint(spoken, name="fp").select("doc_id", "fp"))
-    assert {r[0] for r in single.select("doc_id").collect()} == {r[0] for r in classes.select("component_id").collect()}
+    assert {r[0] for r in single.select("doc_id").collect()} == brute([(r["doc_id"], r["text"]) for r in spoken.collect()])
     drawn = mixing.mix(single.select("doc_id", "source", mixing.word_count().alias("size"))).where("copies > 0")
     want = {r["doc_id"]: r["copies"] for r in drawn.collect()}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == want
