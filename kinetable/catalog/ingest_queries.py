@@ -332,7 +332,50 @@ def top_detections(spark, sf):
     return best.select("clip_id", "frame", "det", r6("box_conf"), "rank")
 
 
-@query("slot_tracking")
+#: Slots of two people a frame, one frame after the other.
+TRACKED = """
+RECURSIVE d AS (
+  SELECT 'clip_' || lpad(cast(vec_id//40 AS varchar), 6, '0') AS clip_id, cast((vec_id%40)//4 AS int) AS frame, cast(vec_id%4 AS int) AS det,
+    coalesce(CASE WHEN vec_id%6 = 0 THEN NULL ELSE round(abs(cast(embedding[61] AS double)), 1) END, 1.0) AS conf,
+    list_transform(range(0, 17), lambda j: {'x': cast(embedding[2*j+1] AS double)*1000 + 300*((vec_id*7)%4), 'y': cast(embedding[2*j+2] AS double)*1000,
+      's': CASE WHEN j = 3 THEN 1.0 ELSE greatest(cast(embedding[35+j] AS double)*5, 0.0) END}) AS joints
+  FROM embeddings),
+best AS (SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY clip_id, frame ORDER BY conf DESC, det DESC) - 1 AS int) AS rank FROM d) WHERE rank < 2),
+sure AS (SELECT *, list_filter(joints, lambda j: j.s > 0.1) AS seen FROM best),
+c AS (
+  SELECT clip_id, frame, rank, joints, list_avg(list_transform(joints, lambda j: j.x)) AS cx, list_avg(list_transform(joints, lambda j: j.y)) AS cy,
+    list_avg(list_transform(CASE WHEN len(seen) > 0 THEN seen ELSE joints END, lambda j: j.x)) AS vx,
+    list_avg(list_transform(CASE WHEN len(seen) > 0 THEN seen ELSE joints END, lambda j: j.y)) AS vy
+  FROM sure),
+f AS (
+  SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) AS place, count(*) AS n,
+    max(CASE WHEN rank = 0 THEN cx END) AS ax, max(CASE WHEN rank = 0 THEN cy END) AS ay, max(CASE WHEN rank = 0 THEN vx END) AS au, max(CASE WHEN rank = 0 THEN vy END) AS av,
+    max(CASE WHEN rank = 1 THEN cx END) AS bx, max(CASE WHEN rank = 1 THEN cy END) AS b_y, max(CASE WHEN rank = 1 THEN vx END) AS bu, max(CASE WHEN rank = 1 THEN vy END) AS bv
+  FROM c GROUP BY clip_id, frame),
+steps AS (
+  SELECT clip_id, 0::BIGINT AS place, -1 AS frame, 0 AS a_slot, NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1 FROM f GROUP BY clip_id
+  UNION ALL
+  SELECT clip_id, place, frame, a_slot,
+    CASE WHEN a_slot = 0 THEN au WHEN n = 2 THEN bu ELSE x0 END, CASE WHEN a_slot = 0 THEN av WHEN n = 2 THEN bv ELSE y0 END,
+    CASE WHEN a_slot = 1 THEN au WHEN n = 2 THEN bu ELSE x1 END, CASE WHEN a_slot = 1 THEN av WHEN n = 2 THEN bv ELSE y1 END
+  FROM (
+    SELECT *, CASE WHEN x0 IS NULL AND x1 IS NULL THEN 0
+      WHEN x1 IS NULL THEN CASE WHEN n = 1 OR a0 <= b0 THEN 0 ELSE 1 END
+      WHEN n = 1 THEN CASE WHEN a0 <= a1 THEN 0 ELSE 1 END
+      WHEN a0 = least(a0, a1, b0, b1) THEN 0 WHEN a1 = least(a0, a1, b0, b1) THEN 1 WHEN b0 = least(a0, a1, b0, b1) THEN 1 ELSE 0 END AS a_slot
+    FROM (
+      SELECT f.*, x0, y0, x1, y1, sqrt((ax-x0)**2 + (ay-y0)**2) AS a0, sqrt((ax-x1)**2 + (ay-y1)**2) AS a1,
+        sqrt((bx-x0)**2 + (b_y-y0)**2) AS b0, sqrt((bx-x1)**2 + (b_y-y1)**2) AS b1
+      FROM steps s JOIN f ON f.clip_id = s.clip_id AND f.place = s.place + 1))),
+slots AS (SELECT c.clip_id, c.frame, c.rank, cast(CASE WHEN rank = 0 THEN a_slot ELSE 1 - a_slot END AS int) AS person, joints FROM c JOIN steps USING (clip_id, frame))"""
+
+
+@query(
+    "slot_tracking",
+    with_tables(TRACKED) + "SELECT clip_id, frame, person, cast(len(joints) AS int) AS joints, round(joints[1].x, 6) AS x, round(joints[1].y, 6) AS y FROM slots",
+)
 def slot_tracking(spark, sf):
     tracked = tracking.track(detections(spark, sf), 2)
-    return tracked.select("clip_id", "frame", "person", F.size("joints").alias("joints"))
+    first = F.col("joints")[0]
+    tracked = tracked.withColumns({"x": first["x"], "y": first["y"], "joints": F.size("joints")})
+    return tracked.select("clip_id", "frame", "person", "joints", r6("x"), r6("y"))

@@ -12,11 +12,11 @@ from kinetable.catalog.adapters import (
     table,
     vector_poses,
 )
-from kinetable.catalog.ingest_queries import detections
+from kinetable.catalog.ingest_queries import TRACKED, detections
 from kinetable.catalog.registry import query, r6, with_tables
 from kinetable.catalog.signal_queries import BASELINE, MOTION
 from kinetable.operators import tracking
-from kinetable.session import scratch_path
+from kinetable.session import materialize, scratch_path
 from kinetable.streaming import run, stateful
 from kinetable.streaming import windows as live
 
@@ -28,11 +28,28 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _derived_stream(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
-    """A derived table, written once to the shared folder, as a stream of ``files`` per batch."""
+PARTS = 4
+
+
+def _unordered_stream(df: DataFrame, label: str, frames: int) -> DataFrame:
+    """A derived table as a stream of four micro-batches whose frames come in no order.
+
+    A part holds ``frames`` frames of every clip and every fifth row of the part before.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return run.read_stream(df.sparkSession, path, df.schema, files=files)
+    late = F.when(F.col("frame") % 5 == 2, 1).otherwise(0)
+    parts = df.withColumn("_part", F.least(F.expr(f"frame div {frames}") + late, F.lit(PARTS - 1)))
+    stored = materialize(parts, label, "_part")
+    for number in range(PARTS):  # one after the other, so that the stream reads them in this order
+        part = stored.filter(F.col("_part") == number).drop("_part")
+        part.orderBy(F.xxhash64("frame")).coalesce(1).write.mode("append").parquet(path)
+    return run.read_stream(df.sparkSession, path, df.schema, files=1)
+
+
+#: The parts of a stream in SQL, with the newest frame that each clip had before a part.
+PARTS_SQL = """, pt AS (SELECT *, least(frame//40 + CASE WHEN frame%5 = 2 THEN 1 ELSE 0 END, 3) AS part FROM fs),
+         tops AS (SELECT clip_id, part, max(max(frame)) OVER (PARTITION BY clip_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+                  FROM pt GROUP BY clip_id, part)"""
 
 
 @query(
@@ -69,7 +86,7 @@ def stream_session_incidents(spark, sf):
     scores = _event_stream(spark, sf).select(
         F.col("user_id").cast("string").alias("clip_id"), "ts", (F.col("value") / 100).alias("score")
     )
-    scores, end = run.ending(scores, "sessions")
+    scores, end = run.closing(scores, "sessions")
     done = run.drain(live.session_incidents(scores, 6 * 3600), "sessions", end)
     return done.select(
         "clip_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), r6("peak")
@@ -84,10 +101,8 @@ def stream_session_incidents(spark, sf):
          SELECT clip_id, start, round(score, 6) AS score FROM g""",
 )
 def stream_sliding_scores(spark, sf):
-    # By hash, so that every micro-batch holds frames of every part of a clip.
-    mixed = score_streams(spark, sf).repartition(4, "frame")
-    stream = _derived_stream(mixed, "scores", files=1)
-    done = run.drain(live.sliding_scores(stream, 8, 4), "sliding")
+    stream, end = run.closing(_unordered_stream(score_streams(spark, sf), "scores", 40), "sliding")
+    done = run.drain(live.sliding_scores(stream, 8, 4), "sliding", end)
     return done.select("clip_id", "start", r6("score"))
 
 
@@ -96,8 +111,8 @@ def stream_sliding_scores(spark, sf):
     with_tables(VECTOR_JOINTS, MOTION) + "SELECT clip_id, frame, person, round(motion, 6) AS motion FROM pm",
 )
 def stream_motion(spark, sf):
-    stream = _derived_stream(vector_poses(spark, sf), "poses")
-    return run.drain(stateful.motion(stream), "motion").select("clip_id", "frame", "person", r6("motion"))
+    stream, end = run.closing(_unordered_stream(vector_poses(spark, sf), "poses", 3), "motion")
+    return run.drain(stateful.motion(stream, disorder=4), "motion", end).select("clip_id", "frame", "person", r6("motion"))
 
 
 @query(
@@ -107,12 +122,23 @@ def stream_motion(spark, sf):
             ORDER BY frame ROWS BETWEEN {BASELINE} PRECEDING AND CURRENT ROW), 0), 6) AS spike FROM fs""",
 )
 def stream_spikes(spark, sf):
-    stream = _derived_stream(score_streams(spark, sf), "scores")
-    return run.drain(stateful.spikes(stream, BASELINE), "spikes").select("clip_id", "frame", r6("spike"))
+    stream, end = run.closing(_unordered_stream(score_streams(spark, sf), "scores", 40), "spikes")
+    return run.drain(stateful.spikes(stream, BASELINE), "spikes", end).select("clip_id", "frame", r6("spike"))
+
+
+@query(
+    "stream_late_rows",
+    with_tables(SCORE_STREAMS) + PARTS_SQL + " SELECT clip_id, frame FROM pt JOIN tops USING (clip_id, part) WHERE frame <= top - 8",
+)
+def stream_late_rows(spark, sf):
+    """Rows that come too late for a scan that waits for eight frames only: its side table."""
+    stream, end = run.closing(_unordered_stream(score_streams(spark, sf), "scores", 40), "late")
+    late = run.drain_both(stateful.spikes(stream, BASELINE, disorder=8), "late", end)[1]
+    return late.select("clip_id", "frame")
 
 
-@query("stream_slot_tracking")
+@query("stream_slot_tracking", with_tables(TRACKED) + "SELECT clip_id, frame, rank, person FROM slots")
 def stream_slot_tracking(spark, sf):
     best = tracking.top_detections(tracking.with_default_confidence(detections(spark, sf)))
-    stream = _derived_stream(tracking.detection_centroids(best), "centroids")
-    return run.drain(stateful.track_slots(stream), "slots")
+    stream, end = run.closing(_unordered_stream(tracking.detection_centroids(best), "centroids", 3), "slots")
+    return run.drain(stateful.track_slots(stream, disorder=4), "slots", end).select("clip_id", "frame", "rank", "person")

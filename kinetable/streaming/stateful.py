@@ -1,78 +1,57 @@
 """Stateful stream operators: slot tracking, motion, trailing-median spikes.
 
-State is bounded per key (slot centroids, one skeleton, a ring of values). Rows of one
-frame must arrive in one micro-batch, frames in increasing order across micro-batches.
-The batch operators are the twins.
+Rows may come in any order within ``disorder`` frames of their key, a frame may be spread over
+micro-batches, and each clip has its own progress (:mod:`kinetable.streaming.ordered`). The batch
+operators are the twins. Results have a column ``late``: true for a row that came behind what its
+key had put out, which has no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinetable.dims import NUM_JOINTS
 from kinetable.operators.batches import equal_runs
 from kinetable.operators.signals import MIN_MOTION_HEIGHT
 from kinetable.operators.tracking import advance
+from kinetable.streaming.ordered import scan
+
+#: Frames that a row may lag behind the newest one of its key.
+DISORDER = 64
+
+
+class Slots:
+    """Detections to slots; carries the slots' centroids."""
+
+    schema = "frame bigint, rank int, person int"
+
+    def __init__(self, max_persons: int):
+        self.max_persons = max_persons
 
+    def run(self, carry, orders, values, closing):
+        slots = np.array(carry, float).reshape(-1, 2) if carry else np.full((self.max_persons, 2), np.nan)
+        given = np.empty(len(orders), np.int32)
+        for low, high in equal_runs(orders):
+            given[low:high], _ = advance(values[low:high, 1:3], values[low:high, 3:], slots)
+        return slots.ravel().tolist(), pd.DataFrame({"frame": orders, "rank": values[:, 0].astype(np.int32), "person": given})
 
-def _in_order(parts: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    """The key's rows of this micro-batch in frame order; the trigger size bounds them."""
-    return pd.concat(list(parts), ignore_index=True).sort_values(columns, kind="stable")
-
-
-def track_slots(centroids: DataFrame, max_persons: int = 2, key: str = "clip_id") -> DataFrame:
-    """(key, frame, rank, person): detections to slots, remembering slot centroids."""
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(parts, ["frame", "rank"])
-        slots = (
-            np.array(state.get[0], dtype=float).reshape(max_persons, 2)
-            if state.exists
-            else np.full((max_persons, 2), np.nan)
-        )
-        points, remembered = rows[["cx", "cy"]].to_numpy(), rows[["vx", "vy"]].to_numpy()
-        frames = rows["frame"].to_numpy()
-        given = np.empty(len(rows), dtype=np.int32)
-        for low, high in equal_runs(frames):
-            given[low:high] = advance(points[low:high], remembered[low:high], slots)
-        state.update((slots.ravel().tolist(),))
-        yield pd.DataFrame(
-            {key: keys[0], "frame": frames, "rank": rows["rank"].to_numpy(), "person": given}
-        )
-
-    kind = centroids.schema[key].dataType.simpleString()
-    return centroids.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, frame int, rank int, person int", "slots array<double>",
-        "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def motion(poses: DataFrame, min_joints: int = 3, key: str = "clip_id") -> DataFrame:
-    """(key, person, frame, motion): displacement since the previous frame of the person."""
-    flat = poses.select(
-        key, "person", "frame",
-        F.flatten(
-            F.transform("joints", lambda j: F.array(j.x.cast("double"), j.y.cast("double"), j.s.cast("double")))
-        ).alias("points"),
-    )
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(parts, ["frame"])
-        frames = rows["frame"].to_numpy()
-        points = np.stack(rows["points"].to_numpy()).reshape(-1, NUM_JOINTS, 3)
-        if state.exists:
-            before_frame, before = state.get
-            first = np.array(before, dtype=float).reshape(1, NUM_JOINTS, 3)
-        else:
-            before_frame, first = -2, np.zeros((1, NUM_JOINTS, 3))
-        previous = np.concatenate([first, points[:-1]])
-        linked = frames == np.concatenate([[before_frame], frames[:-1]]) + 1
+
+class Motion:
+    """Displacement since the frame before; carries the last skeleton with its frame."""
+
+    schema = "frame bigint, motion double"
+
+    def __init__(self, min_joints: int):
+        self.min_joints = min_joints
+
+    def run(self, carry, orders, values, closing):
+        points = values.reshape(-1, NUM_JOINTS, 3)
+        before, first = (int(carry[0]), np.reshape(carry[1:], (1, NUM_JOINTS, 3))) if carry else (-2, np.zeros((1, NUM_JOINTS, 3)))
+        previous = np.concatenate([first, points[:-1]])[: len(points)]
+        linked = orders == np.concatenate([[before], orders[:-1]])[: len(orders)] + 1
         both = (points[..., 2] > 0) & (previous[..., 2] > 0) & linked[:, None]
         gaps = np.linalg.norm(points[..., :2] - previous[..., :2], axis=2)
         count = both.sum(axis=1)
@@ -81,31 +60,42 @@ def motion(poses: DataFrame, min_joints: int = 3, key: str = "clip_id") -> DataF
         low = np.where(seen, points[..., 1], np.inf).min(axis=1)
         height = np.maximum(top - low, MIN_MOTION_HEIGHT)
         mean = (gaps * both).sum(axis=1) / np.maximum(count, 1)
-        value = np.where(count >= min_joints, mean / height, 0.0)
-        state.update((int(frames[-1]), points[-1].ravel().tolist()))
-        yield pd.DataFrame({key: keys[0], "person": keys[1], "frame": frames, "motion": value})
-
-    kind = poses.schema[key].dataType.simpleString()
-    return flat.groupBy(key, "person").applyInPandasWithState(
-        step, f"{key} {kind}, person int, frame int, motion double",
-        "frame int, points array<double>", "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def spikes(values: DataFrame, baseline: int, value: str = "score", key: str = "clip_id") -> DataFrame:
-    """(key, frame, spike): rise above the median of this and the ``baseline`` previous values."""
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(parts, ["frame"])
-        past = list(state.get[0]) if state.exists else []
-        series = pd.Series([*past, *rows[value].tolist()], dtype=float)
-        median = series.rolling(baseline + 1, min_periods=1).median().to_numpy()[len(past):]
-        state.update((series.tail(baseline).tolist(),))
-        spike = np.maximum(rows[value].to_numpy() - median, 0.0)
-        yield pd.DataFrame({key: keys[0], "frame": rows["frame"].to_numpy(), "spike": spike})
-
-    kind = values.schema[key].dataType.simpleString()
-    return values.select(key, "frame", value).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, frame int, spike double", "recent array<double>",
-        "append", GroupStateTimeout.NoTimeout,
-    )
+        found = np.where(count >= self.min_joints, mean / height, 0.0)
+        carry = [float(orders[-1]), *values[-1]] if len(orders) else carry
+        return carry, pd.DataFrame({"frame": orders, "motion": found})
+
+
+class Spikes:
+    """Rise above the trailing median; carries the last values."""
+
+    schema = "frame bigint, spike double"
+
+    def __init__(self, baseline: int):
+        self.baseline = baseline
+
+    def run(self, carry, orders, values, closing):
+        series = pd.Series([*carry, *values[:, 0]], dtype=float)
+        median = series.rolling(self.baseline + 1, min_periods=1).median().to_numpy()[len(carry) :]
+        return series.tail(self.baseline).tolist(), pd.DataFrame({"frame": orders, "spike": np.maximum(values[:, 0] - median, 0.0)})
+
+
+def _ints(df: DataFrame) -> DataFrame:
+    return df.withColumn("frame", F.col("frame").cast("int"))
+
+
+def track_slots(centroids: DataFrame, max_persons: int = 2, key: str = "clip_id", disorder: int = DISORDER, idle: str | None = None) -> DataFrame:
+    """(key, frame, rank, person, late): detections to slots, remembering slot centroids."""
+    return _ints(scan(centroids, Slots(max_persons), [key], "frame", ["rank", "cx", "cy", "vx", "vy"], disorder, idle))
+
+
+def motion(poses: DataFrame, min_joints: int = 3, key: str = "clip_id", disorder: int = DISORDER, idle: str | None = None) -> DataFrame:
+    """(key, person, frame, motion, late): displacement since the previous frame of the person."""
+    points = [F.col("joints")[j][axis].cast("double") for j in range(NUM_JOINTS) for axis in ("x", "y", "s")]
+    return _ints(scan(poses, Motion(min_joints), [key, "person"], "frame", points, disorder, idle))
+
+
+def spikes(
+    values: DataFrame, baseline: int, value: str = "score", key: str = "clip_id", disorder: int = DISORDER, idle: str | None = None
+) -> DataFrame:
+    """(key, frame, spike, late): rise above the median of this and the ``baseline`` previous values."""
+    return _ints(scan(values, Spikes(baseline), [key], "frame", [value], disorder, idle))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -628,13 +629,13 @@ def test_split_loss_and_best_model(spark):
 
 def test_match_slots():
     here = np.array([[0.0, 0.0], [10.0, 10.0]])
-    assert tracking.match_slots(here[::-1].copy(), here).tolist() == [1, 0]
+    assert tracking.match_slots(here[::-1].copy(), here)[0].tolist() == [1, 0]
     empty = np.full((2, 2), np.nan)
-    assert tracking.match_slots(here, empty).tolist() == [0, 1]
+    assert tracking.match_slots(here, empty)[0].tolist() == [0, 1]
     half = np.array([[np.nan, np.nan], [10.0, 10.0]])
-    assert tracking.match_slots(np.array([[9.0, 9.0], [1.0, 1.0]]), half).tolist() == [1, 0]
+    assert tracking.match_slots(np.array([[9.0, 9.0], [1.0, 1.0]]), half)[0].tolist() == [1, 0]
     near = np.array([[0.0, 0.0], [100.0, 0.0]])
-    assert tracking.match_slots(np.array([[90.0, 0.0]]), near).tolist() == [1]
+    assert tracking.match_slots(np.array([[90.0, 0.0]]), near)[0].tolist() == [1]
 
 
 def detection_frame(spark, rows):
@@ -674,3 +675,31 @@ def test_tracking_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and len(got) == len(rows)
+
+
+def scan_in_order(rows, max_persons):
+    """Slots of (clip, frame, rank, cx, cy, vx, vy) rows, one frame after the other."""
+    found, slots = [], {}
+    for (clip, frame), part in pd.DataFrame(rows, columns="clip frame rank cx cy vx vy".split()).sort_values(["clip", "frame", "rank"]).groupby(["clip", "frame"]):
+        own = slots.setdefault(clip, np.full((max_persons, 2), np.nan))
+        given, _ = tracking.advance(part[["cx", "cy"]].to_numpy(float), part[["vx", "vy"]].to_numpy(float), own)
+        found += [(clip, frame, rank, int(person)) for rank, person in zip(part["rank"], given, strict=True)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("max_persons, grid", [(2, None), (3, None), (3, 4)])
+def test_slots_of_split_clips(spark, tiny_chunks, max_persons, grid):
+    """Clips cut into many segments, one without any full frame, and coarse positions full of ties."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for clip, frames in (("a", 120), ("b", 70), ("c", 5), ("bare", 40)):
+        for frame in sorted(rng.choice(3 * frames, frames, replace=False).tolist()):
+            people = int(rng.integers(1, max_persons if clip == "bare" else max_persons + 1))
+            for rank in range(people):
+                spot = rng.uniform(0, 100, 4)
+                rows.append((clip, frame, rank, *(np.floor(spot / 100 * grid) if grid else spot).tolist()))
+    df = spark.createDataFrame(rows, "clip_id string, frame int, rank int, cx double, cy double, vx double, vy double")
+    segments = tracking._segments(df, max_persons, "clip_id").select("clip_id", "segment").distinct().groupBy("clip_id").count()
+    assert {r[0] for r in segments.filter("count > 5").collect()} == {"a", "b"}
+    got = tracking.assign_slots(df, max_persons).select("clip_id", "frame", "rank", "person")
+    assert sorted(map(tuple, got.collect())) == scan_in_order(rows, max_persons)
