@@ -8,5 +8,6 @@ from kinetable.catalog import (  # noqa: F401
     label_queries,
     review_queries,
     signal_queries,
+    source_queries,
     stream_queries,
 )

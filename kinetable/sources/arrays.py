@@ -1,7 +1,8 @@
 """NumPy array files: event segments, per-clip pose arrays, unified clip archives.
 
-Spark spreads the files over tasks; each task decodes its files with NumPy and hands
-rows on in bounded batches.
+Arrays are read by :mod:`kinetable.sources.formats` where Arrow can open the store. Elsewhere, and
+for archives, Spark spreads the files over tasks; each task decodes its files with NumPy and
+hands rows on in bounded batches.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from kinetable.dims import NUM_JOINTS
 from kinetable.functions.text import parent, stem
 from kinetable.operators.events import FIELD_ALIASES, field_names
 from kinetable.schemas import ARRAY_POSES, CLIPS, POSES
+from kinetable.sources import formats
 from kinetable.sources.files import path_exists, qualified, read_binary, relative_id, short_path
 
 BATCH_EVENTS = 200_000
@@ -46,6 +48,15 @@ def read_event_arrays(spark: SparkSession, path: str) -> DataFrame:
     ``folder`` is relative to ``path`` and empty for files directly in it.
     """
     root = qualified(spark, path)
+    rows = formats.load(spark, "event_arrays", path, "*.npy") if formats.reachable(path) else _whole_event_arrays(spark, path)
+    inside = F.regexp_replace(parent(short_path(F.col("path"))), "^" + re.escape(root) + "/?", "")
+    return rows.select(
+        inside.alias("folder"), stem(F.col("path")).alias("segment"), "t_us", "x", "y", "p"
+    )
+
+
+def _whole_event_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a store that only Spark can open: a file is a row of at most 2 GB."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -54,13 +65,7 @@ def read_event_arrays(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(events), BATCH_EVENTS):
                     yield events.iloc[at : at + BATCH_EVENTS].assign(path=name)[["path", "t_us", "x", "y", "p"]]
 
-    rows = read_binary(spark, path, "*.npy").mapInPandas(
-        decode, "path string, t_us double, x double, y double, p double"
-    )
-    inside = F.regexp_replace(parent(short_path(F.col("path"))), "^" + re.escape(root) + "/?", "")
-    return rows.select(
-        inside.alias("folder"), stem(F.col("path")).alias("segment"), "t_us", "x", "y", "p"
-    )
+    return read_binary(spark, path, "*.npy").mapInPandas(decode, "path string, t_us double, x double, y double, p double")
 
 
 def pose_array(content: bytes, path: str) -> np.ndarray:
@@ -95,8 +100,10 @@ def read_pose_arrays(spark: SparkSession, path: str, glob: str = "*.np[yz]") ->
 
 
 def pose_rows(spark: SparkSession, path: str, glob: str = "*.np[yz]") -> DataFrame:
-    """The rows of ``read_pose_arrays`` after one row per file without a frame, so that clips
+    """The rows of ``read_pose_arrays`` and one row per file without a frame, so that clips
     without frames or people keep their length."""
+    if formats.reachable(path):
+        return formats.load(spark, "pose_arrays", path, glob, heads="true")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

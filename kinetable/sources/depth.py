@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +11,10 @@ from pyspark.sql import functions as F
 from kinetable.dims import NUM_DEPTH_JOINTS, depth_action_ids
 from kinetable.functions.text import stem
 from kinetable.session import materialize
+from kinetable.sources import formats
 from kinetable.sources.files import relative_id
+from kinetable.sources.text import JOINT_FIELDS, skeleton_rows
 
-BODY_FIELDS = 9  # body-level tokens after the id (fixed value)
-JOINT_FIELDS = 12  # numbers per joint line (fixed value)
 NAME_PARTS = ["setup", "camera", "performer", "replication", "action"]
 BATCH_BODIES = 2_000
 
@@ -27,31 +26,8 @@ def parse_clip_name(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def skeleton_rows(text: str) -> Iterator[tuple[int, int, int, str | None, np.ndarray]]:
-    """(num_frames, frame, pos, body_id, values) per tracked body; first a header with frame -1."""
-    words = text.split()
-    total, at = int(words[0]), 1
-    yield total, -1, -1, None, np.empty(0)
-    for frame in range(total):
-        bodies, at = int(words[at]), at + 1
-        for pos in range(bodies):
-            body_id = words[at]
-            at += 1 + BODY_FIELDS
-            size = int(words[at]) * JOINT_FIELDS
-            at += 1
-            yield total, frame, pos, body_id, np.array(words[at : at + size], dtype=np.float64)
-            at += size
-
-
-def read_depth_skeletons(
-    spark: SparkSession, path: str, classes: str = "all"
-) -> tuple[DataFrame, DataFrame]:
-    """(clips, bodies) of the .skeleton files below ``path``.
-
-    ``classes`` filters on the action id in the file name, so that other files are not read.
-    clips: path, clip_id, num_frames, setup .. action. bodies: path, clip_id, frame, pos,
-    body_id, joints (25 structs of 12 numbers).
-    """
+def _whole_texts(spark: SparkSession, path: str, classes: str) -> DataFrame:
+    """The rows of ``depth_text`` from a store that only Spark can open: a file is one value."""
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.skeleton")
@@ -70,7 +46,7 @@ def read_depth_skeletons(
         for batch in batches:
             for name, text in zip(batch["path"], batch["value"]):
                 held = []
-                for row in skeleton_rows(text):
+                for row in skeleton_rows(iter(text.split())):
                     held.append(row)
                     if len(held) == BATCH_BODIES:
                         yield pd.DataFrame(held, columns=columns).assign(path=name)
@@ -78,10 +54,28 @@ def read_depth_skeletons(
                 if held:
                     yield pd.DataFrame(held, columns=columns).assign(path=name)
 
-    rows = files.mapInPandas(
+    return files.mapInPandas(
         decode,
         "num_frames int, frame int, pos int, body_id string, values array<double>, path string",
-    ).withColumn("clip_id", relative_id(spark, path, F.col("path"), encoded=True))
+    )
+
+
+def read_depth_skeletons(
+    spark: SparkSession, path: str, classes: str = "all"
+) -> tuple[DataFrame, DataFrame]:
+    """(clips, bodies) of the .skeleton files below ``path``.
+
+    ``classes`` filters on the action id in the file name, so that other files are not read.
+    clips: path, clip_id, num_frames, setup .. action. bodies: path, clip_id, frame, pos,
+    body_id, joints (25 structs of 12 numbers).
+    """
+    if formats.reachable(path):
+        wanted = depth_action_ids(classes)
+        names = "" if wanted is None else "A(" + "|".join(f"{int(i):03d}" for i in sorted(wanted)) + r")[^/]*$"
+        rows = formats.load(spark, "depth_text", path, "*.skeleton", pathPattern=names)
+        rows = rows.withColumn("clip_id", relative_id(spark, path, F.col("path")))
+    else:
+        rows = _whole_texts(spark, path, classes).withColumn("clip_id", relative_id(spark, path, F.col("path"), encoded=True))
     rows = materialize(rows, "depth-rows")
     heads = rows.filter(F.col("frame") < 0).select("path", "clip_id", "num_frames", stem(F.col("path")).alias("_name"))
     clips = parse_clip_name(heads, "_name").drop("_name")
