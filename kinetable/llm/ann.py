@@ -32,6 +32,10 @@ class Settings(NamedTuple):
     seed: int = 5
 
 
+#: One cell, with those beside it, holds every vector: all are candidates of every query.
+WHOLE = Settings(tables=1, hashes=1, width=1e6, probes=3)
+
+
 def usable(vector: str) -> Column:
     """Whether a vector takes part: not null or zero, all components present and finite."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -198,12 +202,22 @@ def search(classes: DataFrame, queries: DataFrame, k: int, settings: Settings |
     return asked.groupBy(*by).cogroup(members.groupBy(*by)).applyInPandas(compared, kind)
 
 
+def _lists(found: DataFrame, k: int) -> DataFrame:
+    """(``query``, ``_near``): the k best of each query class over all tasks, nearest first."""
+    found = found.groupBy("query", "key").agg(F.any_value("ids").alias("ids"), F.max("score").alias("score"))
+    each = found.select("query", "score", F.explode("ids").alias("vec_id"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    each = each.withColumn("_place", best).where(F.col("_place") <= k)
+    return each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_place", "vec_id", "score"))).alias("_near"))
+
+
 def nearest(rows: DataFrame, wanted: Column, k: int = 20, settings: Settings | None = None) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``): the k nearest found of each wanted row.
 
     Input: ``vec_id``, ``vector``. Nearest is the largest inner product, ties go to the smaller
     vec_id, a row is not its own neighbour. Unusable vectors and null ids take no part; a row
-    repeated with its id counts once. With fewer candidates there are fewer results.
+    repeated with its id counts once. A query whose buckets hold fewer than k candidates is
+    compared with all vectors; only where the table has fewer there are fewer results.
     """
     rows = rows.where(usable("vector") & F.col("vec_id").isNotNull())
     rows = rows.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), wanted.alias("_wanted"))
@@ -211,13 +225,16 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 20, settings: Settings | N
     # The id of a row with its vector once; vectors travel with the distinct ones only.
     classes = store(vector_classes(rows.dropDuplicates(["vec_id", "key"]), k + 1), "vectors")
     queries = store(rows.where("_wanted").select("vec_id", "key").distinct(), "queries")
-    found = search(classes, queries, k + 1, settings)
-    found = found.groupBy("query", "key").agg(F.any_value("ids").alias("ids"), F.max("score").alias("score"))
-    each = found.select("query", "score", F.explode("ids").alias("vec_id"))
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    each = each.withColumn("_place", best).where(F.col("_place") <= k + 1)
-    near = F.struct("_place", "vec_id", "score")
-    lists = each.groupBy("query").agg(F.sort_array(F.collect_list(near)).alias("_near"))
+    lists = store(_lists(search(classes, queries, k + 1, settings), k + 1), "near-lists")
+    # One row per vector length.
+    there = classes.groupBy(F.size("vector").alias("dim")).agg(F.least(F.sum(F.size("ids")), F.lit(k + 1)).alias("_enough"))
+    asked = classes.join(queries.select("key").distinct(), "key", "left_semi").select("key", F.size("vector").alias("dim"))
+    met = asked.join(lists.select(F.col("query").alias("key"), F.size("_near").alias("_met")), "key", "left")
+    short = met.join(F.broadcast(there), "dim").where(F.coalesce("_met", F.lit(0)) < F.col("_enough"))
+    short = store(short.select("key"), "short-queries")
+    if not short.isEmpty():
+        more = _lists(search(classes, short, k + 1, WHOLE), k + 1)
+        lists = lists.join(short.withColumnRenamed("key", "query"), "query", "left_anti").unionByName(more)
     joined = queries.join(lists, queries["key"] == lists["query"])
     others = F.slice(F.filter("_near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)
     flat = joined.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("_pos", "_one"))

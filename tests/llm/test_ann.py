@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinetable.llm import ann
@@ -60,6 +61,21 @@ def test_unusable_vectors_few_candidates_and_empty(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("count", [1, 2, 12, 21, 60])
+def test_small_tables_are_complete_with_production_settings(spark, count):
+    random = np.random.default_rng(count)
+    vectors = random.standard_normal((count, 64))
+    rows = [(20 * k if k < count // 2 else 20 * k + 1, v.tolist(), "other") for k, v in enumerate(vectors / np.linalg.norm(vectors, axis=1)[:, None])]
+    got = results(ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0))
+    queries = [i for i, *_ in rows if i % 20 == 0] if count > 1 else []
+    assert set(got) == set(queries) and all(len(got[i]) == min(20, count - 1) for i in queries)
+    if count <= 21:
+        held = spark.createDataFrame(rows, SCHEMA).collect()
+        for q in held:
+            if q["vec_id"] in got:
+                assert [i for _, i, _ in got[q["vec_id"]]] == [i for _, i in brute(held, q, 20)]
+
+
 def test_probes_come_in_order_of_their_score():
     cells = np.array([[[0.9, 0.5]]])
     order = ann.probes(cells, 9)[0, 0].tolist()
