@@ -60,19 +60,20 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-def numbered(df: DataFrame, order: list[Column], label: str, name: str = "row_no") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], label: str, name: str = "row_no", rows: int | None = None) -> DataFrame:
     """All rows stored in the given total order, with a gapless global number from 0.
 
     Rows are range-partitioned, so no key, however frequent, has to fit one task as long as
     ``order`` tells its rows apart; rows that tie are told apart by where they were read, so
     ``df`` should read a table without a shuffle in between. Only one count per partition is
-    gathered. The numbers do not depend on the partition bounds; ties are exchangeable.
+    gathered. The numbers do not depend on the partition bounds; ties are exchangeable. ``rows``
+    is that of :func:`store`: places are marked before partitions share a file.
     """
     mark, read = f"_{name}_place", f"_{name}_read"
     keys = [*order, F.col(read)]
     placed = df.withColumn(read, F.monotonically_increasing_id())
     placed = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(read)
-    placed = store(placed.withColumn(mark, F.monotonically_increasing_id()), label)
+    placed = store(placed.withColumn(mark, F.monotonically_increasing_id()), label, rows)
     part = F.shiftright(mark, PLACE_BITS)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: their number is a setting, not a function of the rows.

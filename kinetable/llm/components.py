@@ -27,15 +27,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(``node``, ``root``) for every node with a link; the root is the smallest node reachable.
 
-    ``links`` has two long columns ``u`` and ``v``. Rounds grow with the logarithm of the
+    ``links`` has two long columns ``u`` and ``v``; ``rows`` is about their number, if known. Rounds grow with the logarithm of the
     longest chain. Each round's links are stored and those before are deleted; the driver sees a
     count and a sum of hashes.
     """
-    # Their number is not known yet.
-    links = store(links.toDF("u", "v").where("u <> v").distinct(), "links")
+    links = store(links.toDF("u", "v").where("u <> v").distinct(), "links", rows)
     last, rows = None, links.count()
     while True:
         before, links = links, store(_small_star(_large_star(links)).distinct(), "links", rows)

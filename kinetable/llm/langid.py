@@ -201,14 +201,14 @@ def costs(model: tuple, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, rows: int | None = None) -> Model:
     """Models of every language among the rows with a non-null ``lang``, from all their texts.
 
     Spark makes the counts over all rows; what reaches the driver is bounded by
     2 * ORDER * 2**SLOT_BITS rows a language for any corpus. The absolute discount of an order
     is n1 / (n1 + 2 n2). No rows give a model without languages.
     """
-    counts = store(gram_counts(docs.where(F.col("lang").isNotNull())), "grams")
+    counts = store(gram_counts(docs.where(F.col("lang").isNotNull())), "grams", rows)
     letters = counts.select(F.col("key").bitwiseAND(F.lit(0xFFFF))).distinct().count()
     found = counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if found > MAX_LANGUAGES:

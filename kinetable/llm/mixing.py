@@ -69,6 +69,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
+    rows: int | None = None,
 ) -> DataFrame:
     """Decides how often each document enters the mix.
 
@@ -77,11 +78,12 @@ def mix(
     documents stand in order of size, so the words taken come near the target too; their
     expected copies are summed up from a random offset and a document is emitted once for each
     whole number its step crosses. A document without words takes part like any other, a null
-    source is a source, repeated rows each count, an empty table gives an empty one.
+    source is a source, repeated rows each count, an empty table gives an empty one. ``rows`` is
+    that of :func:`kinetable.llm.common.store`.
     """
     docs = docs.drop("source_size", "target", "copies", "weight").withColumn("size", F.coalesce("size", F.lit(0)))
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc()]
-    rows = numbered(docs, order, "mix", "_mix_row")
+    rows = numbered(docs, order, "mix", "_mix_row", rows)
     # At most a row per source.
     sources = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.min("_mix_row").alias("_first"), F.count(F.lit(1)).alias("_docs")

@@ -300,16 +300,16 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> P
     return Plan(*columns)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, count: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to stored pieces: places without gaps from 0.
 
     Pieces of a length are ranked by id and piece, whatever their number, and a rank finds its
     place in the plan by arithmetic. Repeated rows are packed each on its own; an empty table
-    gives an empty one.
+    gives an empty one. ``count`` is the ``rows`` of :func:`kinetable.llm.common.store`.
     """
     spark = cut.sparkSession
     cut = cut.drop("sequence_id", "offset")
-    rows = numbered(cut, [F.col(c).asc() for c in ("length", "doc_id", "piece")], "pieces", "_pack_row")
+    rows = numbered(cut, [F.col(c).asc() for c in ("length", "doc_id", "piece")], "pieces", "_pack_row", count)
     # At most one row per length up to the capacity.
     histogram = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").toPandas()
     lengths, counts = histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64)
