@@ -126,3 +126,15 @@ def test_broken_archives_raise(spark, tmp_path, raw):
 def test_empty_table(spark, tmp_path):
     warc.write(spark.createDataFrame([], SCHEMA), f"{tmp_path}/w")
     assert warc.read(spark, f"{tmp_path}/w").count() == 0
+
+
+def test_revisits_that_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Chunks that are shuffled to meet the revisits stand together and in order again."""
+    monkeypatch.setattr(warc, "CHUNK", 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.write(spark.createDataFrame(ROWS, SCHEMA).repartition(3), f"{tmp_path}/w")
+        monkeypatch.setattr(warc, "CHUNK", 900)
+        assert found(warc.read(spark, f"{tmp_path}/w")) == expected(ROWS)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
