@@ -67,9 +67,14 @@ POSE_SUMMARY = """ SELECT clip_id, frame, person, cast(count(*) AS int) AS joint
     FROM pj GROUP BY ALL"""
 
 
+#: Score of all joints of a person who is not in a frame of a dense array; scores of people are never negative.
+ABSENT = -1.0
+
+
 def _dense(rows: pd.DataFrame) -> np.ndarray:
-    """(T, M, 51) keypoints of one clip."""
+    """(T, M, 51) keypoints of one clip; people who are not in a frame have the score ABSENT."""
     out = np.zeros((rows["frame"].max() + 1, rows["person"].max() + 1, 51))
+    out[..., 2::3] = ABSENT
     out[rows["frame"], rows["person"]] = np.stack(rows["flat"].to_numpy())
     return out
 
@@ -113,6 +118,7 @@ def clip_archive_source(spark, sf):
 
     clips, poses = read_clip_archives(spark, _written(_flat_poses(spark, sf), "clip-archives", "clip_id", content), "vectors")
     best = {a: F.array_max(f"joints.{a}").cast("double") for a in "xs"}
+    poses = poses.where(F.col("joints")[0]["s"] != ABSENT)
     rows = poses.join(clips.select("dataset", "clip_id", "label", "num_frames"), ["dataset", "clip_id"]).withColumns(best)
     return rows.select("clip_id", "frame", "person", "label", "num_frames", r6("x"), r6("s"))
 
