@@ -95,6 +95,7 @@ def pose_array_source(spark, sf):
         return f"{clip}.npy", _saved(np.save, values.reshape(*values.shape[:2], 17, 3))
 
     rows = read_pose_arrays(spark, _written(_flat_poses(spark, sf), "pose-arrays", "clip_id", content))
+    rows = rows.where(F.col("keypoints")[2] != ABSENT)
     axis = {a: F.array(*[F.col("keypoints")[3 * j + i] for j in range(17)]) for i, a in enumerate("xys")}
     rows = rows.withColumn("clip_id", F.regexp_extract("path", r"([^/]*)[.]np[yz]$", 1)).withColumn("joints", (F.size("keypoints") / 3).cast("int"))
     rows = rows.withColumns({"x": F.array_max(axis["x"]), "y": F.array_min(axis["y"]), "s": F.array_max(axis["s"])})
