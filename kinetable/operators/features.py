@@ -250,17 +250,18 @@ def _summed(df: DataFrame, group: list[str], weight: Column | None = None) -> Da
 
 
 def _features(
-    sums: DataFrame, group: list[str], normalize: bool, steps: int, persons: int, level: str
+    sums: DataFrame, group: list[str], normalize: bool, steps: int, persons: int, level: str, zero_fill: bool = True
 ) -> DataFrame:
     """``joint``: mean and deviation per channel and joint (102 numbers); ``pooled``: per channel (6)."""
+    seen = F.nullif(F.col("n"), F.lit(0))
     prepared = sums.select(
         *sums.columns,
-        (F.col("sx") / F.col("n")).alias("mid_x"),
-        (F.col("sy") / F.col("n")).alias("mid_y"),
-        (spread(F.col("n"), F.col("sx"), F.col("sy"), F.col("sq")) + EPSILON).alias("dev"),
+        (F.col("sx") / seen).alias("mid_x"),
+        (F.col("sy") / seen).alias("mid_y"),
+        (spread(seen, F.col("sx"), F.col("sy"), F.col("sq")) + EPSILON).alias("dev"),
     )
     slots = ["all"] if level == "pooled" else list(range(NUM_JOINTS))
-    count = float(steps * persons * (NUM_JOINTS if level == "pooled" else 1))
+    count = F.lit(float(steps * persons * (NUM_JOINTS if level == "pooled" else 1))) if zero_fill else F.nullif(F.col("k_there"), F.lit(0.0))
     values: list[Column] = []
     for c in CHANNELS:
         for slot in slots:
@@ -283,11 +284,18 @@ def clip_features(
     normalize: bool = True,
     level: str = "joint",
     key: str = "clip_id",
+    zero_fill: bool = True,
 ) -> DataFrame:
-    """Features of each clip as if cut or edge-padded to ``target`` frames: one aggregation."""
+    """Features of each clip as if cut or edge-padded to ``target`` frames: one aggregation.
+
+    People who are not in a frame count as zeros, as in a tensor; without ``zero_fill`` the
+    means are those of the people who are there.
+    """
     rows = _terms(
         poses.filter(F.col("person") < max_persons), [key, "frame", "person"], normalize, level
     )
+    if not zero_fill:
+        rows = rows.withColumn("k_there", F.lit(float(NUM_JOINTS if level == "pooled" else 1)))
     lengths = clips.select(key, F.col("num_frames").alias("_frames"), F.col("num_frames").alias("_w"))
     sized = attach_by_key(rows, lengths, key, "_w", ["frame", "person"])
     last = (F.col("frame") == F.col("_frames") - 1) & (F.col("_frames") < target)
@@ -296,7 +304,7 @@ def clip_features(
         .when(last, (F.lit(target) - F.col("frame")).cast("double"))
         .otherwise(1.0)
     )
-    return _features(_summed(sized, [key], weight), [key], normalize, target, max_persons, level)
+    return _features(_summed(sized, [key], weight), [key], normalize, target, max_persons, level, zero_fill)
 
 
 def _window_sums(poses, clips, window, stride, normalize, level, key) -> DataFrame:

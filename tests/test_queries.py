@@ -43,7 +43,7 @@ def people_missing(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["clip_archive_source", "pose_array_source"])
+@pytest.mark.parametrize("name", ["clip_archive_source", "clip_features", "pose_array_source"])
 def test_people_missing_in_frames(spark, people_missing, name):
     folder, con = people_missing
     problem = compare(spark, con, name, driver.queries()[name], driver.oracle_sql()[name], folder)
