@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found through MinHash bands."""
+"""Near copies by exact Jaccard similarity of five-word shingles.
+
+Candidates are the neighbours of each SimHash in the Gray-ordered hierarchical index of
+:mod:`kinetable.llm.simhash`; MinHash bands find the similar sets whose fingerprints lie further apart.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,8 @@ from xxhash import xxh64_intdigest
 
 from kinetable.llm.common import ROWS_A_FILE, small_batches, store
 from kinetable.llm.components import components
+from kinetable.llm.simhash import RADIUS, index, majority
+from kinetable.llm.simhash import links as fingerprint_links
 from kinetable.session import discard
 
 SHINGLE, SIMILARITY, HASH_SEED = 5, 0.8, 42
@@ -44,10 +50,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, runs, repeat(HASH_SEED)), np.uint64, count))
 
 
-def sketch(own: np.ndarray) -> tuple[int, int, list[int]]:
-    """A number of the whole set, its size, and one number of each band of its MinHash; (0, 0, []) for the empty set."""
+def sketch(own: np.ndarray) -> tuple[int, int, int, list[int]]:
+    """A number of the whole set, its size, its SimHash and one number of each band of its MinHash; (0, 0, 0, []) for the empty set."""
     if not len(own):
-        return 0, 0, []
+        return 0, 0, 0, []
     least = np.full(BANDS * WIDTH, np.iinfo(np.uint64).max)
     for at in range(0, len(own), CHUNK):
         mixed = (own[at : at + CHUNK, None] ^ _XOR) * _ODD
@@ -55,12 +61,12 @@ def sketch(own: np.ndarray) -> tuple[int, int, list[int]]:
         least = np.minimum(least, mixed.min(axis=0))
     bands = [xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, WIDTH))]
     signed = np.array([xxh64_intdigest(own.tobytes(), HASH_SEED), *bands], np.uint64).view(np.int64).tolist()
-    return signed[0], len(own), signed[1:]
+    return signed[0], len(own), majority(own), signed[1:]
 
 
-@F.pandas_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([*[T.StructField(c, T.LongType()) for c in ("key", "size", "fp")], T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketches(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([sketch(shingles(t)) for t in texts], columns=["key", "size", "bands"])
+    return pd.DataFrame([sketch(shingles(t)) for t in texts], columns=["key", "size", "fp", "bands"])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -133,14 +139,26 @@ def _blocks(count: Column, shingles_: Column) -> Column:
     return F.ceil(F.greatest(count / BLOCK, shingles_ / BLOCK_SHINGLES, F.lit(1.0))).cast("long")
 
 
+def neighbours(classes: DataFrame, rows: int | None = None, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u < v) of sets that connect all sets with fingerprints at most ``radius`` bits apart, from the Gray-ordered index."""
+    shown = classes.where("size > 0").select("key", "fp")
+    first = store(shown.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints", rows)
+    equal = shown.join(first, "fp").select("key", F.col("first").alias("other"))
+    apart = fingerprint_links(index(first, rows), radius).toDF("fp", "other_fp")
+    other = first.select(F.col("fp").alias("other_fp"), F.col("first").alias("other"))
+    apart = apart.join(first.withColumnRenamed("first", "key"), "fp").join(other, "other_fp").select("key", "other")
+    pairs = equal.unionByName(apart).where("key <> other")
+    return pairs.select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct()
+
+
 def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all sets of at least the similarity that share a band.
+    """Links (u, v) that connect all sets of at least the similarity that are neighbours or share a band.
 
-    ``classes``: ``key``, ``size``, ``bands`` and one ``_row`` of each distinct set; ``rows``: ``_row``
-    and ``text``. Buckets with the same members are one bucket. Each set is first tried with a few
-    leaders of its buckets, which connects large groups in linear time. In a bucket that this
-    leaves in several parts, every set outside the largest part is then compared with all sets of
-    the bucket, in blocks of a bounded size: nothing is left out.
+    ``classes``: ``key``, ``size``, ``fp``, ``bands`` and one ``_row`` of each distinct set; ``rows``: ``_row``
+    and ``text``. Each set is first tried with its neighbours by fingerprint and with a few leaders
+    of its buckets, which connects large groups in linear time. Buckets with the same members are
+    one bucket. In a bucket that this leaves in several parts, every set outside the largest part is
+    then compared with all sets of the bucket, in blocks of a bounded size: nothing is left out.
     """
     members = classes.select("key", "size", F.explode("bands").alias("value"))
     buckets = members.groupBy("value").agg(
@@ -150,14 +168,17 @@ def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     buckets = buckets.where("first <> last").groupBy("first", "last", "n", "mixed").agg(F.min("value").alias("value")).drop("n", "mixed")
     number = classes.count()
     shared = store(members.join(buckets, "value"), "shared-bands", number)
-    wanted = classes.select("key", "_row").join(shared.select("key").distinct(), "key", "left_semi").withColumnRenamed("key", "_key")
+    gray = store(neighbours(classes, number), "gray-pairs", number)
+    asked = shared.select("key").unionByName(gray.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    wanted = classes.select("key", "_row").join(asked, "key", "left_semi").withColumnRenamed("key", "_key")
     sets = rows.select("_row", "text").join(wanted, "_row").select(F.col("_key").alias("key"), _sets(F.col("text")).alias("set"))
     sets = store(sets, "shingle-sets", 16 * number)  # a set is many times a narrow row
 
     leaders = shared.select("key", F.explode(F.array("first", "last")).alias("leader")).where("key <> leader")
     often = Window.partitionBy("key").orderBy(F.desc("n"), "leader")
     leaders = leaders.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("n")).withColumn("_place", F.row_number().over(often))
-    pairs = leaders.where(F.col("_place") <= LEADERS).select(F.least("key", "leader").alias("u"), F.greatest("key", "leader").alias("v")).distinct()
+    pairs = leaders.where(F.col("_place") <= LEADERS).select(F.least("key", "leader").alias("u"), F.greatest("key", "leader").alias("v"))
+    pairs = pairs.unionByName(gray).distinct()
     one, two = (sets.select(F.col("key").alias(x), F.col("set").alias(f"{x}_set")) for x in ("u", "v"))
     tried = pairs.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set")
     tried = store(tried.mapInPandas(_tried, "u long, v long"), "first-links", number)
@@ -188,7 +209,7 @@ def links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     gathered = met.groupBy("value", "cell").agg(F.collect_list(F.struct("key", "label", "asks", "answers", "set")).alias("members"))
     gathered = gathered.where(F.exists("members", lambda m: m["asks"]) & F.exists("members", lambda m: m["answers"]))
     found = store(tried.unionByName(gathered.select("members").mapInPandas(_compared, "u long, v long")), "near-links", number)
-    discard(shared, sets, tried, labelled)
+    discard(shared, gray, sets, tried, labelled)
     return found
 
 
@@ -201,10 +222,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("_doc"), "doc_id", _sketches(F.col("text")).alias("s"))
-    rows = rows.select("_doc", "doc_id", *[F.col(f"s.{c}").alias(c) for c in ("key", "size", "bands")])
+    rows = rows.select("_doc", "doc_id", *[F.col(f"s.{c}").alias(c) for c in ("key", "size", "fp", "bands")])
     rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "sketched")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row")))
-    classes = rows.groupBy("key").agg(first.alias("_first"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    classes = rows.groupBy("key").agg(first.alias("_first"), *[F.any_value(c).alias(c) for c in ("size", "fp", "bands")])
     number = WIDE * rows.count()
     classes = store(classes.withColumn("_row", F.col("_first._row")), "sets", number)
     found = links(classes, rows.select("_row", F.col("_doc.text").alias("text")))

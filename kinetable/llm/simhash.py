@@ -33,12 +33,16 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
         count = len(words) - size + 1
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(HASH_SEED)), "<u8", count)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(HASH_SEED)), "<u8", count))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set, as a signed number."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, CHUNK):
+    for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -67,18 +71,19 @@ def _apart(a: str, b: str) -> Column:
     ) + F.bit_count(F.col(f"{b}_all").bitwiseAND(F.bitwise_not(F.col(f"{a}_any"))))
 
 
-def index(fingerprints: DataFrame) -> list[DataFrame]:
+def index(fingerprints: DataFrame, rows: int | None = None) -> list[DataFrame]:
     """Levels of the index over distinct fingerprints (column ``fp``), leaves first.
 
     Leaves are runs of the Gray order, so neighbours share long bit patterns. A node keeps the
     bits that all below it have set (``all``) and the bits that any has (``any``): where both
-    agree the pattern is shared. Leaves also hold their fingerprints.
+    agree the pattern is shared. Leaves also hold their fingerprints. ``rows`` is about the number
+    of fingerprints, if known.
     """
-    rows = numbered(fingerprints.select("fp", gray_rank(F.col("fp")).alias("_gray")), [F.col("_gray").asc()], "gray")
-    leaves = rows.withColumn("node", F.expr(f"row_no div {LEAF}")).groupBy("node").agg(
+    ranked = numbered(fingerprints.select("fp", gray_rank(F.col("fp")).alias("_gray")), [F.col("_gray").asc()], "gray", rows=rows)
+    leaves = ranked.withColumn("node", F.expr(f"row_no div {LEAF}")).groupBy("node").agg(
         F.expr("bit_and(fp)").alias("all"), F.expr("bit_or(fp)").alias("any"), F.sort_array(F.collect_list("fp")).alias("fps")
     )
-    leaves = store(leaves.withColumn("parent", F.expr(f"node div {FANOUT}")), "leaves")
+    leaves = store(leaves.withColumn("parent", F.expr(f"node div {FANOUT}")), "leaves", rows)
     levels, count = [leaves], leaves.count()
     while count > 1:
         level = levels[-1].groupBy(F.col("parent").alias("node")).agg(

@@ -66,3 +66,25 @@ def test_messy_and_empty(messy, empty):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [-5, 1, 3, 6, 7, 8, 9, 10] and ids.count(None) == 1
     assert near_texts.one_of_each(empty).count() == 0
+
+
+def test_candidates_come_from_the_gray_index(spark):
+    """Without any band, all sets whose fingerprints are within two bits and that are similar still link."""
+    from kinetable.llm.simhash import RADIUS, majority
+
+    texts = [" ".join(f"w{k}_{i}" for i in range(400)) for k in range(6)]
+    texts = [f"{t} {tail}" for t in texts for tail in ("", "one", "two")]
+    sets = {near_texts.sketch(s)[0]: s for s in map(near_texts.shingles, texts)}
+    fps = {k: majority(s) for k, s in sets.items()}
+    close = {(a, b) for a in sets for b in sets if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= RADIUS}
+    near = {(a, b) for a, b in close if near_texts.enough(len(set(sets[a]) & set(sets[b])), len(sets[a]), len(sets[b]))}
+    assert len(near) >= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    classes = docs.select("_row", near_texts._sketches("text").alias("s")).select("_row", "s.key", "s.size", "s.fp")
+    bare = classes.selectExpr("*", "cast(array() AS array<bigint>) AS bands")
+    found = {(r["u"], r["v"]) for r in near_texts.links(bare, docs).collect()}
+    label = {k: k for k in sets}
+    for _ in sets:
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found <= near and all(label[a] == label[b] for a, b in near)
