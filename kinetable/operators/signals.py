@@ -17,11 +17,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from kinetable.functions.joints import distance, shared_steps
 from kinetable.functions.numeric import clip
 from kinetable.operators.batches import equal_runs
-from kinetable.operators.chunks import frame_spine, with_chunk, with_halo
+from kinetable.operators.chunks import attach_by_key, explode_span, frame_spine, with_chunk, with_halo
 from kinetable.operators.people import ROW_SLOTS, checked_slot, with_stats
-from kinetable.operators.windows import frame_windows
 
 MIN_MOTION_HEIGHT = 8.0  # pixels (fixed value)
+TASK_FRAMES = 1 << 20  # frames whose scores one task sums, about
 PRESSURE_CEILING = 0.99  # activity from pressure spikes stays below 1 (fixed value)
 
 
@@ -38,13 +38,19 @@ def frame_scores(
     """
     if "pair" not in scores.columns:
         scores = scores.withColumn("pair", F.lit(None).cast("struct<i:int,j:int>"))
-    covered = frame_windows(scores.select(key, "start", "prob", "pair"), clips, window, key)
-    rows = covered.unionByName(frame_spine(clips, key), allowMissingColumns=True)
+    lengths = clips.select(key, F.col("num_frames").alias("_frames"), F.col("num_frames").alias("_w"))
+    sized = attach_by_key(scores.select(key, "start", "prob", "pair"), lengths, key, "_w", ["start"])
+    covered = sized.withColumn("_end", F.least(F.col("start") + window, F.col("_frames"))).drop("_frames")
+    whole = clips.select(key, F.lit(0).alias("start"), F.col("num_frames").alias("_end"))
+    spans = covered.unionByName(whole, allowMissingColumns=True).withColumn("_first", F.col("start"))
+    total = clips.agg(F.sum(F.col("num_frames").cast("long"))).first()[0] or 0
+    rows = explode_span(spans, "_first", "_end", key, parts=total // TASK_FRAMES + 1, piece="_piece")
     order = F.when(F.col("prob").isNotNull(), F.struct("prob", -F.col("start")))
-    return rows.groupBy(key, "frame").agg(
+    # Rows of a piece are together already; grouping by it as well needs no second shuffle.
+    return rows.groupBy(key, "_piece", "frame").agg(
         F.coalesce(F.avg("prob"), F.lit(0.0)).alias("score"),
         F.max_by("pair", order).alias("pair"),
-    )
+    ).drop("_piece")
 
 
 # --- smoothing and scaling -----------------------------------------------------------

@@ -703,3 +703,19 @@ def test_slots_of_split_clips(spark, tiny_chunks, max_persons, grid):
     assert {r[0] for r in segments.filter("count > 5").collect()} == {"a", "b"}
     got = tracking.assign_slots(df, max_persons).select("clip_id", "frame", "rank", "person")
     assert sorted(map(tuple, got.collect())) == scan_in_order(rows, max_persons)
+
+
+def test_frame_scores_deals_frames_out_by_their_number(spark, tiny_chunks, monkeypatch):
+    """More frames are more tasks, not larger ones; the curve stays the same."""
+    clips = spark.createDataFrame([("a", 300), ("b", 7), ("c", 0)], "clip_id string, num_frames int")
+    scores = [("a", s, (s % 7) / 7.0) for s in range(0, 290, 3)] + [("b", 0, 0.5)]
+    frame = spark.createDataFrame(scores, "clip_id string, start int, prob double")
+    monkeypatch.setattr(signals, "TASK_FRAMES", 32)
+    curve = signals.frame_scores(frame, clips, 10)
+    assert curve.rdd.getNumPartitions() >= 9
+    found = {(r["clip_id"], r["frame"]): r["score"] for r in curve.collect()}
+    length = {"a": 300, "b": 7}
+    assert set(found) == {(c, f) for c, n in length.items() for f in range(n)}
+    for (clip, at), score in found.items():
+        held = [p for c, s, p in scores if c == clip and s <= at < s + 10]
+        assert score == pytest.approx(sum(held) / len(held) if held else 0.0)
